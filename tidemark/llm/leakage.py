@@ -142,6 +142,10 @@ class ItemIndex:
             out.append((a + shift, a, b))
         return out
 
+    def _slot(self, word: str) -> int:
+        """NUMBER or NAME, 0 for a word of the template. A slot that holds a template word was damaged, not refilled."""
+        return NUMBER if word.isdigit() else 0 if word in self.code else NAME
+
     def _consistent(self, passage: list[str], words: list[str], runs: list[tuple[int, int, int]]) -> set[int]:
         """The passage's positions that runs carry. Runs that follow one another, a few words having been put in or
         taken out between them, stand or fall together by their slots."""
@@ -164,7 +168,7 @@ class ItemIndex:
                     mine, theirs = passage[k], words[k + at - a]
                     if mine == theirs:
                         equal.add(k)
-                    if mine.isdigit() or mine not in self.code:  # a slot
+                    if self._slot(mine) and (mine == theirs or self._slot(theirs) == self._slot(mine)):
                         same, other = same + (mine == theirs), other + (mine != theirs)
             if same and other <= same / 2 or not other and len(equal) >= PLAIN:
                 kept |= equal
