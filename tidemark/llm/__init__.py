@@ -1,0 +1 @@
+"""Operations for corpora that language models are trained on. Nothing outside this subpackage imports it."""
