@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +42,24 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared checkpoint folder; it survives lost executors."""
     checkpoint_ready(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each application, so that queries run
+    where only the driver has it on its path."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    # Executors may ask the driver for the file at any time, so it stays until the driver ends.
+    tmp = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+    path = Path(tmp, "tidemark_package.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _SHIPPED.add(app)
