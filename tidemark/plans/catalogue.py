@@ -1,6 +1,482 @@
-"""All queries over the test tables, with the SQL that gives the same rows."""
+"""All queries over the test tables, with the SQL that gives the same rows. Times come out as text, scores rounded."""
 
 from __future__ import annotations
 
-QUERIES = {}
-SQL = {}
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import classify, text
+from tidemark.functions import lexicon as L
+from tidemark.operators import lifecycle, lookup, semantic, standardise, tfidf, timeseries, vocabulary
+from tidemark.plans import sql as S
+from tidemark.sources import files
+from tidemark.sources.tables import table
+from tidemark.streaming import bins
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _stamp(c: Column | str) -> Column:
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+def _r(c: Column | str, places: int = 6) -> Column:
+    return F.round(c, places)
+
+
+def _comments(spark: SparkSession, d: str) -> DataFrame:
+    return standardise.standardise_comments(table(spark, d, "comments"))
+
+
+def _videos(spark: SparkSession, d: str) -> DataFrame:
+    return standardise.standardise_videos(table(spark, d, "videos"))
+
+
+def _processed(spark: SparkSession, d: str) -> DataFrame:
+    return standardise.processed(standardise.posts(table(spark, d, "comments"), table(spark, d, "videos")))
+
+
+# Standardisation
+
+@query("q_standardise_comments", f"WITH {S.COMMENTS} SELECT commentId, videoId AS video_id, authorId AS author_id, {S.stamp('ts')} AS ts, txt AS text, engagement AS engagement_score, reply AS is_reply FROM comments_std")
+def q_standardise_comments(spark, d):
+    return _comments(spark, d).select("commentId", "video_id", "author_id", _stamp("timestamp").alias("ts"), "text", "engagement_score", "is_reply")
+
+
+@query("q_standardise_videos", f"WITH {S.VIDEOS} SELECT videoId AS video_id, channelId AS channel_id, {S.stamp('ts')} AS ts, txt AS text, round(engagement, 6) AS engagement_score, contentDuration AS content_duration FROM videos_std")
+def q_standardise_videos(spark, d):
+    return _videos(spark, d).select("video_id", "channel_id", _stamp("timestamp").alias("ts"), "text", _r("engagement_score").alias("engagement_score"), "content_duration")
+
+
+@query("q_engagement", f"WITH {S.VIDEOS} SELECT channelId AS channel_id, count(*) AS videos, round(sum(engagement), 4) AS engagement, round(max(engagement), 4) AS best FROM videos_std GROUP BY 1")
+def q_engagement(spark, d):
+    return _videos(spark, d).groupBy("channel_id").agg(F.count("*").alias("videos"), _r(F.sum("engagement_score"), 4).alias("engagement"), _r(F.max("engagement_score"), 4).alias("best"))
+
+
+@query("q_process_posts", f"WITH {S.POSTS} SELECT dataset_type, video_id, {S.stamp('ts')} AS ts, cleaned AS cleaned_text, category, round(engagement, 6) AS engagement_score FROM processed")
+def q_process_posts(spark, d):
+    return _processed(spark, d).select("dataset_type", "video_id", _stamp("timestamp").alias("ts"), "cleaned_text", "category", _r("engagement_score").alias("engagement_score"))
+
+
+# Text
+
+@query("q_relevance_filter", f"SELECT commentId, textOriginal AS text FROM comments WHERE {S.holds('lower(textOriginal)', S.ALL_KEYWORDS)}")
+def q_relevance_filter(spark, d):
+    return table(spark, d, "comments").filter(text.relevant(F.col("textOriginal"))).select("commentId", F.col("textOriginal").alias("text"))
+
+
+@query("q_clean_text", f"SELECT commentId, {S.clean('textOriginal')} AS cleaned FROM comments")
+def q_clean_text(spark, d):
+    return table(spark, d, "comments").select("commentId", text.clean(F.col("textOriginal")).alias("cleaned"))
+
+
+@query("q_clean_documents", f"SELECT doc_id, {S.clean('text')} AS cleaned FROM documents")
+def q_clean_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.clean(F.col("text")).alias("cleaned"))
+
+
+@query("q_emoji_strip", f"SELECT doc_id, {S.replaced('coalesce(text, ' + S.text('') + ')', L.EMOJI)} AS stripped FROM documents")
+def q_emoji_strip(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.strip_emoji(F.col("text")).alias("stripped"))
+
+
+@query("q_tfidf_preclean", f"SELECT commentId, regexp_replace(regexp_replace(lower(textOriginal), {S.text(L.TERM_NOISE)}, '', 'g'), {S.text(L.TERM_SPECIAL)}, ' ', 'g') AS bare FROM comments")
+def q_tfidf_preclean(spark, d):
+    return table(spark, d, "comments").select("commentId", text.term_clean(F.col("textOriginal")).alias("bare"))
+
+
+@query("q_hashtags", f"SELECT commentId, lower(unnest(regexp_extract_all(textOriginal, {S.text(L.HASHTAG)}, 1))) AS tag FROM comments")
+def q_hashtags(spark, d):
+    return table(spark, d, "comments").select("commentId", F.explode(text.hashtags(F.col("textOriginal"))).alias("tag"))
+
+
+@query("q_hashtag_vocab", f"SELECT feature, count(*) AS count, 'hashtag' AS type FROM (SELECT unnest(regexp_extract_all(lower(textOriginal), {S.text(L.HASHTAG)}, 0)) AS feature FROM comments) GROUP BY 1")
+def q_hashtag_vocab(spark, d):
+    return vocabulary.hashtag_vocabulary(table(spark, d, "comments"), "textOriginal")
+
+
+@query("q_keyword_vocab", "SELECT feature, count(*) AS count, 'keyword' AS type FROM comments JOIN (SELECT unnest([" + S.in_list(L.VOCABULARY_KEYWORDS) + "]) AS feature) ON contains(lower(textOriginal), feature) GROUP BY 1")
+def q_keyword_vocab(spark, d):
+    return vocabulary.keyword_vocabulary(table(spark, d, "comments"), "textOriginal")
+
+
+_WORDS = f"SELECT commentId, unnest(string_split({S.clean('textOriginal')}, ' ')) AS token FROM comments"
+
+
+@query("q_tokens", f"SELECT commentId, token FROM ({_WORDS}) WHERE length(token) > 2 AND token NOT IN ({S.in_list(L.STOP_WORDS)})")
+def q_tokens(spark, d):
+    return table(spark, d, "comments").select("commentId", F.explode(text.tokens(text.clean(F.col("textOriginal")))).alias("token"))
+
+
+@query("q_token_counts", f"SELECT token, count(*) AS count FROM ({_WORDS}) WHERE length(token) > 2 AND token NOT IN ({S.in_list(L.STOP_WORDS)}) GROUP BY 1")
+def q_token_counts(spark, d):
+    return q_tokens(spark, d).groupBy("token").agg(F.count("*").alias("count"))
+
+
+# Classification
+
+@query("q_category_first_match", f"SELECT post_id, {S.category('cleaned_text')} AS rule_category FROM processed_posts")
+def q_category_first_match(spark, d):
+    return table(spark, d, "processed_posts").select("post_id", classify.category(F.col("cleaned_text")).alias("rule_category"))
+
+
+@query("q_category_counts", f"SELECT rule_category, count(*) AS posts FROM (SELECT {S.category('cleaned_text')} AS rule_category FROM processed_posts) WHERE rule_category IS NOT NULL GROUP BY 1")
+def q_category_counts(spark, d):
+    return vocabulary.value_counts(q_category_first_match(spark, d), "rule_category").withColumnRenamed("count", "posts")
+
+
+_RULE = {c: f"{S.held('t', ws)} / CAST({len(ws)} AS DOUBLE)" for c, ws in L.RULE_CATEGORIES.items()}
+_RULE_TOP = f"greatest({', '.join(_RULE.values())})"
+
+
+@query("q_rule_category", f"SELECT post_id, CASE WHEN {_RULE_TOP} <= 0 THEN 'lifestyle' " + " ".join(f"WHEN {v} = {_RULE_TOP} THEN '{c}'" for c, v in _RULE.items()) + f" END AS category, round(CASE WHEN {_RULE_TOP} <= 0 THEN 0.1 ELSE {_RULE_TOP} END, 6) AS confidence FROM (SELECT post_id, lower(coalesce(text, '')) AS t FROM processed_posts)")
+def q_rule_category(spark, d):
+    got = table(spark, d, "processed_posts").select("post_id", classify.rule_category(F.col("text")).alias("x"))
+    return got.select("post_id", "x.category", _r("x.confidence").alias("confidence"))
+
+
+@query("q_rule_sentiment", f"SELECT commentId, CASE WHEN p > n THEN 'positive' WHEN n > p THEN 'negative' ELSE 'neutral' END AS sentiment, CASE WHEN p = n THEN 0.5 ELSE least(greatest(p, n) / CAST(10 AS DOUBLE), 1) END AS confidence, CASE WHEN p > n THEN least(p / CAST(10 AS DOUBLE), 1) WHEN n > p THEN -least(n / CAST(10 AS DOUBLE), 1) ELSE 0 END AS score FROM (SELECT commentId, {S.held('t', L.POSITIVE)} AS p, {S.held('t', L.NEGATIVE)} AS n FROM (SELECT commentId, lower(coalesce(textOriginal, '')) AS t FROM comments))")
+def q_rule_sentiment(spark, d):
+    return table(spark, d, "comments").select("commentId", classify.rule_sentiment(F.col("textOriginal")).alias("x")).select("commentId", "x.*")
+
+
+_BIOS = ["19 yo skincare addict", "age 45, mother of two", "Gen Z and proud", "college student, 17 years old", "millennial mum", "sixteen going on thirty", "boomer with a blog", "Gen X painter", "no hints here", "80 yo and glowing"]
+
+
+@query("q_age_group", "WITH bios AS (SELECT unnest([" + S.in_list(_BIOS) + "]) AS bio UNION ALL SELECT textOriginal FROM comments WHERE textOriginal IS NOT NULL) SELECT bio, age_group, count(*) AS texts FROM (SELECT bio, " + S.age("bio") + " AS age_group FROM bios) GROUP BY 1, 2")
+def q_age_group(spark, d):
+    bios = spark.createDataFrame([(b,) for b in _BIOS], "bio string").unionByName(table(spark, d, "comments").select(F.col("textOriginal").alias("bio")).filter("bio is not null"))
+    return bios.select("bio", classify.age_group(F.col("bio"))["age_group"].alias("age_group")).groupBy("bio", "age_group").agg(F.count("*").alias("texts"))
+
+
+# Time series
+
+def _series(spark: SparkSession, d: str, interval: str) -> DataFrame:
+    counts = timeseries.feature_counts(_processed(spark, d), "hashtags", "timestamp", [interval], audio="video_id", hashtags="hashtags")
+    return timeseries.with_trend(counts)
+
+
+for _i in ("1h", "6h", "1d", "1w"):
+    @query(f"q_timebin_{_i}", f"WITH {S.TAGGED} SELECT {S.stamp(S.time_bin(_i))} AS time_bin, feature, count(*) AS count, count(DISTINCT video_id) AS unique_audio_ids FROM tagged GROUP BY 1, 2")
+    def _timebin(spark, d, i=_i):
+        counts = timeseries.feature_counts(_processed(spark, d), "hashtags", "timestamp", [i], audio="video_id")
+        return counts.select(_stamp("time_bin").alias("time_bin"), "feature", "count", "unique_audio_ids")
+
+
+@query("q_unique_hashtags_per_bin", f"WITH {S.TAGGED} SELECT {S.stamp(S.time_bin('1d', 'a.ts'))} AS time_bin, a.feature, count(DISTINCT b.feature) AS unique_hashtags FROM tagged a JOIN tagged b ON a.k = b.k GROUP BY 1, 2")
+def q_unique_hashtags_per_bin(spark, d):
+    return _series(spark, d, "1d").select(_stamp("time_bin").alias("time_bin"), "feature", "unique_hashtags")
+
+
+@query("q_rolling_mean", f"WITH {S.series('1d')} SELECT {S.stamp('b')} AS time_bin, feature, n AS count, round(rolling_mean, 6) AS rolling_mean FROM trend")
+def q_rolling_mean(spark, d):
+    return _series(spark, d, "1d").select(_stamp("time_bin").alias("time_bin"), "feature", "count", _r("rolling_mean").alias("rolling_mean"))
+
+
+@query("q_rate_of_change", f"WITH {S.series('6h')} SELECT {S.stamp('b')} AS time_bin, feature, n AS count, round(rate, 6) AS rate_of_change FROM trend")
+def q_rate_of_change(spark, d):
+    return _series(spark, d, "6h").select(_stamp("time_bin").alias("time_bin"), "feature", "count", _r("rate_of_change").alias("rate_of_change"))
+
+
+def _union_series(i: str) -> str:
+    return f"SELECT '{i}' AS interval, b, feature, n, coalesce(CAST(n - lag(n) OVER (PARTITION BY feature ORDER BY b) AS DOUBLE) / lag(n) OVER (PARTITION BY feature ORDER BY b), 0) AS rate FROM (SELECT {S.time_bin(i)} AS b, feature, count(*) AS n FROM tagged GROUP BY 1, 2)"
+
+
+@query("q_trend_candidates", f"WITH {S.TAGGED}, both_ AS ({_union_series('1h')} UNION ALL {_union_series('6h')}) SELECT interval, {S.stamp('b')} AS time_bin, feature, n AS count, round(rate, 6) AS rate_of_change FROM both_")
+def q_trend_candidates(spark, d):
+    counts = timeseries.feature_counts(_processed(spark, d), "hashtags", "timestamp", ["1h", "6h"])
+    return timeseries.with_trend(counts).select("interval", _stamp("time_bin").alias("time_bin"), "feature", "count", _r("rate_of_change").alias("rate_of_change"))
+
+
+@query("q_top_growth", f"WITH {S.series('1d')} SELECT {S.stamp('b')} AS time_bin, feature, n AS count, round(rate, 6) AS rate_of_change, rank FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY rate DESC, feature) AS rank FROM trend) WHERE rank <= 5")
+def q_top_growth(spark, d):
+    top = lookup.top_k(_series(spark, d, "1d"), 5, ["time_bin"], [F.desc("rate_of_change"), F.col("feature")])
+    return top.select(_stamp("time_bin").alias("time_bin"), "feature", "count", _r("rate_of_change").alias("rate_of_change"), "rank")
+
+
+@query("q_category_of_feature", f"WITH {S.POSTS}, t AS (SELECT ts, txt, category, lower(unnest(regexp_extract_all(txt, {S.text(L.HASHTAG)}, 1))) AS feature FROM numbered), f AS (SELECT feature, category, row_number() OVER (PARTITION BY feature ORDER BY ts, txt, category) AS r FROM t) SELECT feature, category FROM f WHERE r = 1")
+def q_category_of_feature(spark, d):
+    tags = _processed(spark, d).select("timestamp", "text", "category", F.explode("hashtags").alias("feature"))
+    return tags.groupBy("feature").agg(F.min_by("category", F.struct("timestamp", "text", "category")).alias("category"))
+
+
+# Lifecycle
+
+def _event_bins(spark: SparkSession, d: str, interval: str = "1d") -> DataFrame:
+    counts = timeseries.feature_counts(table(spark, d, "events"), "event_type", "ts", [interval])
+    return counts.select("feature", F.col("time_bin").alias("timestamp"), "count")
+
+
+@query("q_derivatives", f"WITH {S.EVENTS} SELECT feature, {S.stamp('b')} AS ts, n AS count, g AS growth, a AS acceleration FROM diffs")
+def q_derivatives(spark, d):
+    return timeseries.derivatives(_event_bins(spark, d), ["feature"], "timestamp", "count").select("feature", _stamp("timestamp").alias("ts"), "count", "growth", "acceleration")
+
+
+@query("q_decay_v1", f"WITH {S.EVENTS} SELECT feature, trend_state, round(decay_confidence, 6) AS decay_confidence, round(avg_growth, 6) AS avg_growth, round(avg_acceleration, 6) AS avg_acceleration, total_change, latest_growth, latest_acceleration FROM states")
+def q_decay_v1(spark, d):
+    got = lifecycle.decay_v1(_event_bins(spark, d))
+    return got.select("feature", "trend_state", *[_r(c).alias(c) for c in ("decay_confidence", "avg_growth", "avg_acceleration")], "total_change", "latest_growth", "latest_acceleration")
+
+
+@query("q_decay_v1_enriched", f"WITH {S.EVENTS} SELECT feature, {S.stamp('b')} AS ts, n AS count, coalesce(trend_state, 'Unknown') AS trend_state, round(coalesce(decay_confidence, 0), 6) AS decay_confidence FROM binned LEFT JOIN states USING (feature)")
+def q_decay_v1_enriched(spark, d):
+    rows = _event_bins(spark, d)
+    got = lifecycle.decay_v1_enriched(rows, lifecycle.decay_v1(rows))
+    return got.select("feature", _stamp("timestamp").alias("ts"), "count", "trend_state", _r("decay_confidence").alias("decay_confidence"))
+
+
+@query("q_decay_v1_hashtags", f"WITH {S.TAGGED}, {S.EVENTS.replace('SELECT event_type AS feature', 'SELECT feature').replace('FROM events', 'FROM tagged')} SELECT feature, trend_state, round(decay_confidence, 6) AS decay_confidence, total_change FROM states")
+def q_decay_v1_hashtags(spark, d):
+    counts = timeseries.feature_counts(_processed(spark, d), "hashtags", "timestamp", ["1d"]).withColumnRenamed("time_bin", "timestamp")
+    return lifecycle.decay_v1(counts).select("feature", "trend_state", _r("decay_confidence").alias("decay_confidence"), "total_change")
+
+
+@query("q_decay_v3", f"WITH {S.EVENTS} SELECT feature, {S.stamp('b')} AS ts, CASE WHEN g IS NULL OR a IS NULL THEN NULL WHEN g > 0 AND a > 0 THEN 'Growing' WHEN g > 0 THEN 'Peaking' WHEN a < 0 THEN 'Decaying' ELSE 'Stable' END AS state FROM diffs")
+def q_decay_v3(spark, d):
+    got = timeseries.derivatives(_event_bins(spark, d), ["feature"], "timestamp", "count")
+    return got.select("feature", _stamp("timestamp").alias("ts"), lifecycle.decay_v3(F.col("growth"), F.col("acceleration")).alias("state"))
+
+
+# Terms
+
+@query("q_tfidf_overall", "WITH " + S.scores(["category"], "SELECT category, post_id AS doc, cleaned_text AS txt FROM processed_posts WHERE category IS NOT NULL") + " SELECT category, term, round(tfidf_score, 6) AS tfidf_score, rank FROM ranked WHERE rank <= 15")
+def q_tfidf_overall(spark, d):
+    posts = table(spark, d, "processed_posts").filter("category is not null")
+    top = tfidf.top_terms(tfidf.term_scores(posts, ["category"], "post_id", "cleaned_text"), ["category"], 15)
+    return top.select("category", "term", _r("tfidf_score").alias("tfidf_score"), "rank")
+
+
+def _weekly(spark: SparkSession, d: str) -> DataFrame:
+    posts = table(spark, d, "processed_posts").filter("category is not null and timestamp is not null")
+    posts = posts.withColumn("window_start", F.to_date(timeseries.time_bin(F.col("timestamp"), "1w")))
+    scores = tfidf.term_scores(posts, ["category", "window_start"], "post_id", "cleaned_text")
+    return tfidf.top_terms(scores, ["category", "window_start"], 10)
+
+
+@query("q_tfidf_weekly", f"WITH {S.WEEKLY} SELECT category, CAST(week AS VARCHAR) AS week, term, round(tfidf_score, 6) AS tfidf_score, rank FROM weekly")
+def q_tfidf_weekly(spark, d):
+    return _weekly(spark, d).select("category", F.col("window_start").cast("string").alias("week"), "term", _r("tfidf_score").alias("tfidf_score"), "rank")
+
+
+def _filled(spark: SparkSession, d: str) -> DataFrame:
+    return timeseries.zero_filled(_weekly(spark, d), "category", "window_start", "term", "tfidf_score")
+
+
+@query("q_zero_fill", f"WITH {S.FILLED} SELECT category, CAST(week AS VARCHAR) AS week, term, round(score, 6) AS tfidf_score FROM filled")
+def q_zero_fill(spark, d):
+    return _filled(spark, d).select("category", F.col("window_start").cast("string").alias("week"), "term", _r("tfidf_score").alias("tfidf_score"))
+
+
+@query("q_term_stats", f"WITH {S.V2} SELECT category, term, appearances, total_windows, round(max_tfidf, 6) AS max_tfidf, round(min_tfidf, 6) AS min_tfidf, round(latest_tfidf, 6) AS latest_tfidf, round(appearances * CAST(100 AS DOUBLE) / total_windows, 4) AS coverage FROM stats")
+def q_term_stats(spark, d):
+    got = lifecycle.appearances(_filled(spark, d))
+    return got.select("category", "term", "appearances", "total_windows", *[_r(c).alias(c) for c in ("max_tfidf", "min_tfidf", "latest_tfidf")], _r(lookup.coverage(F.col("appearances"), F.col("total_windows")), 4).alias("coverage"))
+
+
+@query("q_decay_v2", f"WITH {S.V2} SELECT category, term, trend_state, round(decay_confidence, 6) AS decay_confidence, round(avg_growth_rate, 6) AS avg_growth_rate FROM v2")
+def q_decay_v2(spark, d):
+    return lifecycle.decay_v2(_filled(spark, d)).select("category", "term", "trend_state", _r("decay_confidence").alias("decay_confidence"), _r("avg_growth_rate").alias("avg_growth_rate"))
+
+
+@query("q_decay_summary", f"WITH {S.V2} SELECT category, count(*) AS total_terms, " + ", ".join(f"count(*) FILTER (trend_state = '{s}') AS {s.lower()}" for s in lifecycle.STATES) + ", round(count(*) FILTER (trend_state = 'Decaying') * CAST(100 AS DOUBLE) / count(*), 4) AS decay_percentage FROM v2 GROUP BY 1")
+def q_decay_summary(spark, d):
+    got = lifecycle.state_summary(lifecycle.decay_v2(_filled(spark, d)))
+    return got.withColumn("decay_percentage", _r("decay_percentage", 4))
+
+
+@query("q_top_decaying", f"WITH {S.V2} SELECT category, term, round(decay_confidence, 6) AS decay_confidence, round(max_tfidf, 6) AS max_tfidf, rank FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY round(decay_confidence, 9) DESC, round(max_tfidf, 9) DESC, term) AS rank FROM v2 JOIN stats USING (category, term) WHERE trend_state = 'Decaying') WHERE rank <= 10")
+def q_top_decaying(spark, d):
+    filled = _filled(spark, d)
+    both = lifecycle.decay_v2(filled).filter("trend_state = 'Decaying'").join(lifecycle.appearances(filled), ["category", "term"])
+    top = lookup.top_k(both, 10, ["category"], [F.desc(_r("decay_confidence", 9)), F.desc(_r("max_tfidf", 9)), F.col("term")])
+    return top.select("category", "term", _r("decay_confidence").alias("decay_confidence"), _r("max_tfidf").alias("max_tfidf"), "rank")
+
+
+# Vocabulary
+
+@query("q_spelling", f"SELECT term, coalesce(v, trim(term)) AS corrected, v IS NOT NULL AS was_corrected, count(*) AS records FROM term_counts LEFT JOIN {S.SPELLING} ON lower(trim(term)) = k WHERE term IS NOT NULL GROUP BY 1, 2, 3")
+def q_spelling(spark, d):
+    terms = table(spark, d, "term_counts").filter("term is not null").select("term")
+    return vocabulary.corrected(terms, "term").groupBy("term", "corrected", "was_corrected").agg(F.count("*").alias("records"))
+
+
+@query("q_term_pipeline", f"WITH c AS (SELECT DISTINCT term, coalesce(v, trim(term)) AS corrected, v IS NOT NULL AS hit FROM term_counts LEFT JOIN {S.SPELLING} ON lower(trim(term)) = k WHERE term IS NOT NULL), w AS (SELECT *, regexp_split_to_array(lower(trim(corrected)), '\\s+') AS ws FROM c), l AS (SELECT *, {S.LANGUAGE} AS lang FROM w) SELECT term AS original_term, corrected AS processed_term, hit AS spelling_corrected, lang AS source_language, round(CASE WHEN lang = 'unknown' THEN 0 ELSE least(0.9, greatest(0.5, length(trim(corrected)) / CAST(20 AS DOUBLE))) END, 6) AS language_confidence, lang = 'en' AS is_english FROM l")
+def q_term_pipeline(spark, d):
+    got = vocabulary.processed_terms(table(spark, d, "term_counts"), "term")
+    return got.select("original_term", "processed_term", "spelling_corrected", "source_language", _r("language_confidence").alias("language_confidence"), "is_english")
+
+
+@query("q_vocab_mapping", f"SELECT term_id, term AS term_original, coalesce(v, trim(term)) AS term_processed, v IS NOT NULL AS term_was_corrected FROM term_counts LEFT JOIN {S.SPELLING} ON lower(trim(term)) = k")
+def q_vocab_mapping(spark, d):
+    terms = table(spark, d, "term_counts").select("term_id", "term")
+    got = vocabulary.apply_mapping(terms, "term", vocabulary.processed_terms(terms, "term"))
+    return got.select("term_id", "term_original", "term_processed", "term_was_corrected")
+
+
+@query("q_processing_rates", f"WITH c AS (SELECT DISTINCT term, v IS NOT NULL AS hit FROM term_counts LEFT JOIN {S.SPELLING} ON lower(trim(term)) = k WHERE term IS NOT NULL) SELECT count(*) AS terms, round(count(*) FILTER (hit) * CAST(100 AS DOUBLE) / greatest(count(*), 1), 6) AS spelling_corrected_rate, CAST(0 AS DOUBLE) AS translated_rate FROM c")
+def q_processing_rates(spark, d):
+    got = vocabulary.processing_rates(vocabulary.processed_terms(table(spark, d, "term_counts"), "term"))
+    return got.select("terms", _r("spelling_corrected_rate").alias("spelling_corrected_rate"), "translated_rate")
+
+
+@query("q_language_distribution", "SELECT source_language, count(*) AS records FROM term_counts WHERE source_language IS NOT NULL GROUP BY 1")
+def q_language_distribution(spark, d):
+    return vocabulary.value_counts(table(spark, d, "term_counts"), "source_language").withColumnRenamed("count", "records")
+
+
+# Vectors
+
+@query("q_cosine", "WITH c AS (SELECT label, list(vec_id ORDER BY vec_id) AS ids FROM embeddings GROUP BY 1), f AS (SELECT e.label, e.embedding FROM embeddings e JOIN c ON e.vec_id = c.ids[1]) SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(f.embedding AS DOUBLE[])), 5) AS cosine FROM embeddings e JOIN f USING (label)")
+def q_cosine(spark, d):
+    e = table(spark, d, "embeddings")
+    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("first"))
+    return e.join(first, "label").select("vec_id", _r(semantic.cosine(F.col("embedding"), F.col("first")), 5).alias("cosine"))
+
+
+_COHERENCE = "WITH p AS (SELECT a.label AS cluster_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id), m AS (SELECT cluster_id, avg(c) AS coherence FROM p GROUP BY 1), n AS (SELECT label AS cluster_id, count(*) AS size FROM embeddings GROUP BY 1), o AS (SELECT cluster_id, size, coalesce(coherence, 1) AS coherence FROM n LEFT JOIN m USING (cluster_id))"
+
+
+@query("q_coherence", f"{_COHERENCE} SELECT cluster_id, size, round(coherence, 5) AS coherence FROM o")
+def q_coherence(spark, d):
+    return semantic.coherence(table(spark, d, "embeddings"), "label", "embedding").select("cluster_id", "size", _r("coherence", 5).alias("coherence"))
+
+
+@query("q_average_coherence", f"{_COHERENCE} SELECT round(avg(coherence), 5) AS average_coherence FROM o")
+def q_average_coherence(spark, d):
+    return semantic.coherence(table(spark, d, "embeddings"), "label", "embedding").agg(_r(F.avg("coherence"), 5).alias("average_coherence"))
+
+
+@query("q_cluster_stats", f"WITH {S.series('1d')}, c AS (SELECT length(feature) AS cluster_id, * FROM trend) SELECT cluster_id, round(avg(rate), 3) AS mean_rate, count(rate) AS features, CAST(sum(n) AS BIGINT) AS total_count FROM c GROUP BY 1")
+def q_cluster_stats(spark, d):
+    return semantic.cluster_stats(_series(spark, d, "1d").withColumn("cluster_id", F.length("feature")))
+
+
+@query("q_kmeans")
+def q_kmeans(spark, d):
+    return semantic.clusters(table(spark, d, "embeddings"), "embedding", 10).select("vec_id", "cluster_id")
+
+
+@query("q_semantic_trends")
+def q_semantic_trends(spark, d):
+    series = _series(spark, d, "1w")
+    vectors = semantic.hashed_embeddings(series.filter("rate_of_change > 0").select("feature").distinct().withColumn("grams", F.split("feature", "")), "grams", 64)
+    from pyspark.ml.functions import vector_to_array
+
+    grouped = semantic.clusters(vectors.withColumn("embedding", vector_to_array("embedding")), "embedding", 8)
+    c = semantic.coherence(grouped, "cluster_id", "embedding").select("cluster_id", F.col("coherence").alias("coherence_score"), F.col("size").alias("cluster_size"))
+    return semantic.semantic_trends(series, grouped.join(c, "cluster_id")).select("time_bin", "feature", "count", "cluster_id", "coherence_score", "cluster_size")
+
+
+# Look-up
+
+@query("q_leaderboard", "WITH " + S.scores(["category"], "SELECT category, post_id AS doc, cleaned_text AS txt FROM processed_posts WHERE category IS NOT NULL") + " SELECT CAST(rank AS INTEGER) AS trend_id, upper(category[1]) || category[2:] AS category, term, CAST(floor(tfidf_score * 1000) AS INTEGER) AS trend_score, round(least(0.95, 0.5 + tfidf_score), 6) AS sentiment_score FROM ranked WHERE rank <= 25")
+def q_leaderboard(spark, d):
+    posts = table(spark, d, "processed_posts").filter("category is not null")
+    top = tfidf.top_terms(tfidf.term_scores(posts, ["category"], "post_id", "cleaned_text"), ["category"], 25)
+    return lookup.trend_rows(top).withColumn("sentiment_score", _r("sentiment_score"))
+
+
+@query("q_facets", "SELECT post_id, category, dataset_type FROM processed_posts WHERE category IN ('makeup', 'hair') AND dataset_type IN ('videos')")
+def q_facets(spark, d):
+    return lookup.facets(table(spark, d, "processed_posts"), {"category": ["makeup", "hair"], "dataset_type": ["videos"], "declared_lang": []}).select("post_id", "category", "dataset_type")
+
+
+@query("q_all_terms", f"SELECT DISTINCT term FROM (SELECT term FROM term_counts UNION ALL SELECT lower(unnest(regexp_extract_all(textOriginal, {S.text(L.HASHTAG)}, 1))) FROM comments) WHERE regexp_matches(translate(regexp_replace(term, '^#+', ''), '_', ' '), {S.text(rf'^[{L.SPACE}]*\p{{L}}+([{L.SPACE}]+\p{{L}}+)*[{L.SPACE}]*$')})")
+def q_all_terms(spark, d):
+    return lookup.all_terms(table(spark, d, "term_counts").select("term"), q_hashtags(spark, d).select("tag"))
+
+
+@query("q_fuzzy_lookup", f"WITH {S.WEEKLY}, h AS (SELECT DISTINCT category, term, {S.NAME} AS own FROM weekly), m AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY own = 'mascara' DESC, term) AS r FROM h WHERE own <> '' AND (contains(own, 'mascara') OR contains('mascara', own))) SELECT category, term, own = 'mascara' AS exact FROM m WHERE r = 1")
+def q_fuzzy_lookup(spark, d):
+    return lookup.fuzzy_lookup(_weekly(spark, d).select("category", "term").distinct(), "#Mascara").select("category", "term", "exact")
+
+
+@query("q_best_temporal_match", f"WITH {S.WEEKLY}, h AS (SELECT *, {S.NAME} AS own FROM weekly), m AS (SELECT *, contains(own, 'cream blush') OR contains('cream blush', own) AS part, list_has_any(list_filter(string_split(own, ' '), lambda w: length(w) > 2), ['cream', 'blush']) AS shared FROM h), f AS (SELECT *, row_number() OVER (PARTITION BY category, week ORDER BY part DESC, rank, term) AS r FROM m WHERE own <> '' AND (part OR shared)), t AS (SELECT category, count(*) AS windows, sum(CASE WHEN part THEN tfidf_score ELSE tfidf_score / 2 END * 1000) AS match_score FROM f WHERE r = 1 GROUP BY 1) SELECT category, windows, round(match_score, 4) AS match_score FROM t ORDER BY round(t.match_score, 9) DESC, category LIMIT 1")
+def q_best_temporal_match(spark, d):
+    return lookup.best_temporal_match(_weekly(spark, d), "Cream_Blush").withColumn("match_score", _r("match_score", 4))
+
+
+_LAST = f"WITH {S.EVENTS}, e AS (SELECT feature, arg_max(n, b) AS last_n, arg_min(n, b) AS first_n, max(b) AS last_b FROM binned GROUP BY 1)"
+
+
+@query("q_forecast", f"{_LAST}, s AS (SELECT unnest(range(1, 13)) AS step) SELECT feature, CAST(step AS INTEGER) AS step, CAST(CAST(last_b AS DATE) + CAST((7 - (isodow(last_b + INTERVAL 6 DAY) % 7)) + 6 + (step - 1) * 7 AS INTEGER) AS VARCHAR) AS week, round(last_n * pow(CAST(1.02 AS DOUBLE), step), 4) AS value FROM e, s")
+def q_forecast(spark, d):
+    bins_ = _event_bins(spark, d)
+    last = bins_.groupBy("feature").agg(F.max_by("count", "timestamp").alias("start"), F.max("timestamp").alias("at")).withColumn("rate", F.lit(None).cast("double"))
+    return timeseries.forecast(last, "start", "rate", "at").select("feature", "step", F.col("week").cast("string").alias("week"), _r("value", 4).alias("value"))
+
+
+@query("q_direction", f"{_LAST} SELECT feature, CAST(last_n - first_n AS BIGINT) AS change, CASE WHEN last_n > first_n THEN 'Growth' WHEN last_n < first_n THEN 'Decline' ELSE 'Stable' END AS direction FROM e")
+def q_direction(spark, d):
+    ends = _event_bins(spark, d).groupBy("feature").agg(F.min_by("count", "timestamp").alias("a"), F.max_by("count", "timestamp").alias("b"))
+    return ends.select("feature", (F.col("b") - F.col("a")).alias("change"), lookup.direction(F.col("a"), F.col("b")).alias("direction"))
+
+
+# Whole tables, files, streams
+
+@query("q_dataset_stats", f"WITH {S.POSTS} SELECT dataset_type, count(*) AS posts, count(DISTINCT video_id) AS videos, round(avg(engagement), 4) AS mean_engagement, round(max(engagement), 4) AS max_engagement, {S.stamp('min(ts)')} AS first_ts, {S.stamp('max(ts)')} AS last_ts FROM posts GROUP BY 1")
+def q_dataset_stats(spark, d):
+    posts = standardise.posts(table(spark, d, "comments"), table(spark, d, "videos"))
+    return posts.groupBy("dataset_type").agg(
+        F.count("*").alias("posts"), F.count_distinct("video_id").alias("videos"), _r(F.avg("engagement_score"), 4).alias("mean_engagement"),
+        _r(F.max("engagement_score"), 4).alias("max_engagement"), _stamp(F.min("timestamp")).alias("first_ts"), _stamp(F.max("timestamp")).alias("last_ts"),
+    )
+
+
+@query("q_reply_counts", f"WITH {S.COMMENTS} SELECT videoId AS video_id, count(*) AS comments, count(*) FILTER (reply) AS replies FROM comments_std GROUP BY 1")
+def q_reply_counts(spark, d):
+    return _comments(spark, d).groupBy("video_id").agg(F.count("*").alias("comments"), F.count_if("is_reply").alias("replies"))
+
+
+@query("q_top_posts", f"WITH {S.VIDEOS} SELECT videoId AS video_id, round(engagement, 4) AS engagement_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY channelId ORDER BY engagement DESC, videoId) AS rank FROM videos_std) WHERE rank <= 5")
+def q_top_posts(spark, d):
+    top = lookup.top_k(_videos(spark, d), 5, ["channel_id"], [F.desc("engagement_score"), F.col("video_id")])
+    return top.select("video_id", _r("engagement_score", 4).alias("engagement_score"), "rank")
+
+
+@query("q_sample")
+def q_sample(spark, d):
+    """A sampling operator: a thousand comments by a hash of their id."""
+    return table(spark, d, "comments").orderBy(F.xxhash64("commentId"), "commentId", "updatedAt").limit(1000).select("commentId", "textOriginal")
+
+
+@query("q_csv_profile")
+def q_csv_profile(spark, d):
+    from tidemark.session import shared_folder
+
+    path = shared_folder(spark, "videos_csv")
+    table(spark, d, "videos").write.mode("overwrite").csv(path, header=True)
+    return files.csv_profile(spark, path)
+
+
+@query("q_json_flatten")
+def q_json_flatten(spark, d):
+    events = table(spark, d, "events").select("event_id", F.from_json("props", "struct<k:long>").alias("props"))
+    return files.flattened(events)
+
+
+@query("q_stream_timebin", f"SELECT {S.stamp(S.time_bin('6h', 'ts'))} AS time_bin, event_type AS feature, count(*) AS count FROM events WHERE {S.time_bin('6h', 'ts')} + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2")
+def q_stream_timebin(spark, d):
+    from tidemark.session import shared_folder
+
+    static = spark.read.parquet(f"{d}/events.parquet")
+    stream = spark.readStream.schema(static.schema).parquet(f"{d}/events.parquet*")
+    name = f"stream_{abs(hash(d)) % 10**9}"
+    spark.catalog.dropTempView(name)
+    got = bins.drain(bins.windowed_counts(stream, "ts", "event_type"), name, shared_folder(spark, name, fresh=True))
+    return got.select(_stamp("time_bin").alias("time_bin"), "feature", "count")

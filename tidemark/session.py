@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -63,3 +64,10 @@ def ship(spark: SparkSession) -> None:
             out.write(file, file.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(path))
     _SHIPPED.add(app)
+
+
+def shared_folder(spark: SparkSession, name: str, fresh: bool = False) -> str:
+    """A path below the checkpoint folder that all executors share; with ``fresh`` one that nothing has used."""
+    checkpoint_ready(spark)
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{root}/{name}-{uuid.uuid4().hex}" if fresh else f"{root}/{name}"
