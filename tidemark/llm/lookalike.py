@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.glyphs import CYRILLIC, ONLY_CYRILLIC, _piece, skeleton, word_by_table
+from tidemark.session import cut
 
 # Fixed values, as Java patterns: what makes a text other than canonical as it stands. No group is repeated in them,
 # since Java would recurse once for each repetition and texts have no bound.
@@ -201,10 +202,10 @@ def lookalike_pairs(texts: DataFrame) -> DataFrame:
     text repeated without end meets no copy of itself. Stable texts are distinct spellings of distinct
     canonical texts, so a class without an odd member has one spelling and is left out before the join.
     """
-    # Two seeds: 128 bits name a text. Bytes, not letters, are compared: no collation takes part.
-    keyed = texts.filter("canonical <> ''").select(
-        "id", "stable", F.md5("canonical").alias("key"), F.md5("raw").alias("spelling")
-    )
+    # Bytes, not letters, are compared: no collation takes part. The keys are written once and read several times.
+    keyed = cut(texts.filter("canonical <> ''").select(
+        "id", "stable", F.unhex(F.md5("canonical")).alias("key"), F.unhex(F.md5("raw")).alias("spelling")
+    ))
     odd_keys = keyed.filter("not stable").select("key").distinct()
     near = keyed.join(odd_keys, "key", "left_semi").select("key", "spelling", "id").distinct()
     forms = near.select("key", "spelling").distinct()
