@@ -205,3 +205,23 @@ def test_reports_round_trip(spark, tmp_path):
 def test_plans(spark):
     df = spark.createDataFrame([("Maskara",)], "t string")
     assert "BroadcastHashJoin" in vocabulary.corrected(df, "t")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hooks(spark):
+    from tidemark.functions import hooks
+
+    df = spark.createDataFrame([("abc",), (None,), (" ",)], "t string")
+    got = [tuple(r.x) for r in df.select(hooks.labelled_by(lambda ts: [(t.upper(), 0.5) for t in ts], F.col("t"), ("blank", 0.0), 2).alias("x")).collect()]
+    assert got == [("AB", 0.5), ("blank", 0.0), ("blank", 0.0)]
+    vectors = df.select(hooks.embedded_by(lambda ts: [[len(t), 1] for t in ts], F.col("t")).alias("v"))
+    assert [tuple(r) for r in vectors.select(*hooks.vector_columns("v", 3, "e")).collect()] == [(3.0, 1.0, None), (0.0, 1.0, None), (1.0, 1.0, None)]
+
+
+def test_command_line(spark, tmp_path):
+    from tidemark.__main__ import main
+
+    synthetic.synthetic_posts(spark, 400).write.parquet(str(tmp_path / "in" / "comments.parquet"))
+    (tmp_path / "c.json").write_text(json.dumps({"series": {"intervals": ["1d"]}}))
+    report = main([str(tmp_path / "in"), str(tmp_path / "out"), "--config", str(tmp_path / "c.json")])
+    assert report["rows"]["posts"] == 360 and report["rows"]["series"] > 0 and report["config"]["series"]["features"] == ["hashtags", "tokens"]
+    assert (tmp_path / "out" / "report.json").exists()

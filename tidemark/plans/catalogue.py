@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import classify, text
+from tidemark.functions import classify, hooks, text
 from tidemark.functions import lexicon as L
 from tidemark.operators import lifecycle, lookup, semantic, standardise, tfidf, timeseries, vocabulary
+from tidemark.plans import pipeline
 from tidemark.plans import sql as S
-from tidemark.sources import files
+from tidemark.sources import files, synthetic
 from tidemark.sources.tables import table
 from tidemark.streaming import bins
 
@@ -480,3 +481,77 @@ def q_stream_timebin(spark, d):
     spark.catalog.dropTempView(name)
     got = bins.drain(bins.windowed_counts(stream, "ts", "event_type"), name, shared_folder(spark, name, fresh=True))
     return got.select(_stamp("time_bin").alias("time_bin"), "feature", "count")
+
+
+# Further bins, shapes and stages
+
+for _w, _seconds in (("3h", 10800), ("3d", 259200), ("7d", 604800), ("14d", 1209600)):
+    @query(f"q_timebin_{_w}", f"SELECT {S.stamp(f'make_timestamp(CAST(floor(epoch(ts) / {_seconds}) AS BIGINT) * {_seconds} * 1000000)')} AS time_bin, event_type AS feature, count(*) AS count, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2")
+    def _event_timebin(spark, d, i=_w):
+        events = table(spark, d, "events").withColumn("user_id", F.col("user_id").cast("string"))
+        got = timeseries.feature_counts(events, "event_type", "ts", [i], audio="user_id")
+        return got.select(_stamp("time_bin").alias("time_bin"), "feature", "count", F.col("unique_audio_ids").alias("users"))
+
+
+@query("q_hashtag_characters", f"WITH {S.TAGGED} SELECT {S.stamp(S.time_bin('1d'))} AS time_bin, feature, len(list_distinct(string_split(feature, ''))) AS unique_hashtags FROM tagged GROUP BY 1, 2")
+def q_hashtag_characters(spark, d):
+    got = timeseries.feature_counts(_processed(spark, d), "hashtags", "timestamp", ["1d"], strict_compat=True)
+    return got.select(_stamp("time_bin").alias("time_bin"), "feature", "unique_hashtags")
+
+
+@query("q_densified", f"WITH {S.EVENTS.split('grown AS')[0].rstrip().rstrip(',')}, e AS (SELECT feature, min(b) AS a, max(b) AS z FROM binned GROUP BY 1), g AS (SELECT feature, unnest(generate_series(a, z, INTERVAL 1 DAY)) AS b FROM e) SELECT feature, {S.stamp('b')} AS ts, coalesce(n, 0) AS count FROM g LEFT JOIN binned USING (feature, b)")
+def q_densified(spark, d):
+    got = timeseries.densified(_event_bins(spark, d), ["feature"], "timestamp", "count", "1d")
+    return got.select("feature", _stamp("timestamp").alias("ts"), "count")
+
+
+@query("q_first_occurrences", "SELECT cleaned_text, min(post_id) AS post_id FROM processed_posts GROUP BY 1")
+def q_first_occurrences(spark, d):
+    return semantic.first_occurrences(table(spark, d, "processed_posts"), "cleaned_text", "post_id")
+
+
+@query("q_vector_columns", "SELECT vec_id, embedding[1] AS v_0, embedding[2] AS v_1, embedding[3] AS v_2 FROM embeddings")
+def q_vector_columns(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", *hooks.vector_columns("embedding", 3, "v"))
+
+
+@query("q_union_columns", "SELECT videoId, textOriginal, NULL AS title, likeCount FROM comments UNION ALL SELECT videoId, NULL, title, likeCount FROM videos")
+def q_union_columns(spark, d):
+    comments = table(spark, d, "comments").select("videoId", "textOriginal", "likeCount")
+    return comments.unionByName(table(spark, d, "videos").select("videoId", "title", "likeCount"), allowMissingColumns=True)
+
+
+@query("q_rising", f"WITH {S.series('1w')} SELECT {S.stamp('b')} AS time_bin, feature, n AS count, round(rate, 6) AS rate_of_change FROM trend WHERE rate > 0")
+def q_rising(spark, d):
+    got = _series(spark, d, "1w").filter("rate_of_change > 0")
+    return got.select(_stamp("time_bin").alias("time_bin"), "feature", "count", _r("rate_of_change").alias("rate_of_change"))
+
+
+@query("q_token_series", f"WITH {S.POSTS}, w AS (SELECT k, ts, unnest(string_split(cleaned, ' ')) AS feature FROM numbered) SELECT {S.stamp(S.time_bin('1d'))} AS time_bin, feature, count(*) AS count FROM w WHERE length(feature) > 2 AND feature NOT IN ({S.in_list(L.STOP_WORDS)}) GROUP BY 1, 2")
+def q_token_series(spark, d):
+    got = pipeline.feature_series(_processed(spark, d), {"series": {"intervals": ["1d"], "features": ["tokens"]}})
+    return got.select(_stamp("time_bin").alias("time_bin"), "feature", "count")
+
+
+@query("q_text_columns", "SELECT post_id, CASE WHEN hashtags IS NULL THEN NULL ELSE '[' || array_to_string(list_transform(hashtags, lambda x: '\"' || x || '\"'), ',') || ']' END AS hashtags FROM processed_posts")
+def q_text_columns(spark, d):
+    return files.as_text_columns(table(spark, d, "processed_posts").select("post_id", "hashtags"))
+
+
+@query("q_model_labels")
+def q_model_labels(spark, d):
+    """The hook for models, with a model that reads the length."""
+    model = lambda texts: [("long" if len(t) > 80 else "short", 1.0) for t in texts]
+    got = table(spark, d, "processed_posts").select("post_id", hooks.labelled_by(model, F.col("cleaned_text"), ("none", 0.0)).alias("x"))
+    return got.select("post_id", "x.*")
+
+
+@query("q_synthetic_posts")
+def q_synthetic_posts(spark, d):
+    return synthetic.synthetic_posts(spark, 10_000)
+
+
+@query("q_pipeline_lifecycle")
+def q_pipeline_lifecycle(spark, d):
+    """All stages in one plan over the raw tables."""
+    return pipeline.run(table(spark, d, "comments"), table(spark, d, "videos"), config={"lifecycle": {"least_appearances": 2}})["lifecycle"]

@@ -59,6 +59,11 @@ def term_lifecycle(weekly: DataFrame, config: Mapping | None = None) -> DataFram
 def run(*raw: DataFrame, config: Mapping | None = None) -> dict[str, DataFrame]:
     """All stages from raw comment and video tables, as frames that nothing has run yet."""
     processed = standardise.processed(standardise.posts(*raw)).withColumn("post_key", F.xxhash64("dataset_type", "video_id", "timestamp", "text"))
+    return after_posts(processed, config)
+
+
+def after_posts(processed: DataFrame, config: Mapping | None = None) -> dict[str, DataFrame]:
+    """The stages that read processed posts."""
     series = feature_series(processed, config)
     weekly = weekly_terms(processed, "post_key", config)
     return {"posts": processed, "series": series, "candidates": trend_candidates(series), "weekly_terms": weekly, "lifecycle": term_lifecycle(weekly, config)}

@@ -21,7 +21,9 @@ COMMENT_NAMES, VIDEO_NAMES = re.compile("comment|reply|replies"), re.compile("vi
 def discover(spark: SparkSession, folder: str) -> dict[str, list[str]]:
     """Files of a local folder by kind: by their names first, else by the columns in the footer or header."""
     found: dict[str, list[str]] = {"comments": [], "videos": []}
-    for path in sorted(p for p in Path(folder).rglob("*") if p.suffix in (".parquet", ".csv", ".json")):
+    kinds = (".parquet", ".csv", ".json")
+    inside = lambda p: any(q.suffix in kinds for q in p.relative_to(folder).parents)  # noqa: E731 — part files of a table
+    for path in sorted(p for p in Path(folder).rglob("*") if p.suffix in kinds and not inside(p)):
         name = path.stem.lower()
         kind = "comments" if COMMENT_NAMES.search(name) else "videos" if VIDEO_NAMES.search(name) else None
         if kind is None:
