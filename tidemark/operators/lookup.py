@@ -30,7 +30,7 @@ def facets(df: DataFrame, wanted: Mapping[str, Sequence[str]]) -> DataFrame:
 def top_k(df: DataFrame, k: int, by: Sequence[str], order: Sequence[Column], rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group by an order that should settle all ties."""
     w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    return df.withColumn(rank, F.row_number().over(w).cast("long")).filter(F.col(rank) <= k)
 
 
 def all_terms(*sources: DataFrame) -> DataFrame:

@@ -46,4 +46,4 @@ def term_scores(docs: DataFrame, part: Sequence[str], doc: str, text: str, least
 def top_terms(scores: DataFrame, part: Sequence[str], n: int) -> DataFrame:
     """The n best terms of each part with their rank; scores equal at 12 places go by term."""
     w = Window.partitionBy(*part).orderBy(F.desc(F.round("tfidf_score", 12)), "term")
-    return scores.filter("tfidf_score > 0").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return scores.filter("tfidf_score > 0").withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n)

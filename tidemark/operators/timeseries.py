@@ -38,7 +38,7 @@ def feature_counts(df: DataFrame, feature: str, time: str, intervals: Sequence[s
     keys = [*by, "interval", "time_bin", "feature"]
     out = one.groupBy(*keys).agg(F.count("*").alias("count"), F.count_distinct("_audio").alias("unique_audio_ids"))
     if strict_compat:
-        return out.withColumn("unique_hashtags", F.size(F.array_distinct(F.split("feature", ""))))
+        return out.withColumn("unique_hashtags", F.size(F.array_distinct(F.split("feature", ""))).cast("long"))
     if not hashtags:
         return out.withColumn("unique_hashtags", F.lit(0).cast("long"))
     tags = one.select(*keys, F.explode("_tags").alias("tag")).groupBy(*keys).agg(F.count_distinct("tag").alias("unique_hashtags"))

@@ -362,7 +362,7 @@ def q_average_coherence(spark, d):
     return semantic.coherence(table(spark, d, "embeddings"), "label", "embedding").agg(_r(F.avg("coherence"), 5).alias("average_coherence"))
 
 
-@query("q_cluster_stats", f"WITH {S.series('1d')}, c AS (SELECT length(feature) AS cluster_id, * FROM trend) SELECT cluster_id, round(avg(rate), 3) AS mean_rate, count(rate) AS features, CAST(sum(n) AS BIGINT) AS total_count FROM c GROUP BY 1")
+@query("q_cluster_stats", f"WITH {S.series('1d')}, c AS (SELECT CAST(length(feature) AS INTEGER) AS cluster_id, * FROM trend) SELECT cluster_id, round(avg(rate), 3) AS mean_rate, count(rate) AS features, CAST(sum(n) AS BIGINT) AS total_count FROM c GROUP BY 1")
 def q_cluster_stats(spark, d):
     return semantic.cluster_stats(_series(spark, d, "1d").withColumn("cluster_id", F.length("feature")))
 
