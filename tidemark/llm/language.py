@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.glyphs import by_table
+from tidemark.llm.sampling import fixed_sample
 
 #: Most labelled samples used in training, first by id.
 MOST_SAMPLES = 20_000
@@ -289,11 +290,11 @@ SEGMENTS = "record_id long, segment_no int, lang string, confidence double, firs
 
 
 def language_segments(texts: DataFrame, samples: DataFrame, id_col: str, text_col: str, label_col: str, min_words: int,
-                      labelled: DataFrame | None = None) -> DataFrame:
+                      labelled: DataFrame | None = None, labelled_rows: int = 0) -> DataFrame:
     """The stretches of every text of at least ``min_words`` words, hashtags aside.
 
     ``samples`` has lang, sample; ``labelled`` (record_id, label, text) may add up to ``MOST_LABELLED`` texts with labels
-    of unknown worth, chosen by a hash of their ids."""
+    of unknown worth, chosen by a hash of their ids; ``labelled_rows`` is about how many there are."""
     spark = texts.sparkSession
     rows = texts.select(F.col(id_col).cast("long").alias("record_id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
     rows = rows.filter("record_id is not null and text is not null")
@@ -304,7 +305,7 @@ def language_segments(texts: DataFrame, samples: DataFrame, id_col: str, text_co
     more = []
     if labelled is not None:
         some = labelled.select("record_id", "label", "text").filter("label is not null and text is not null")
-        some = some.orderBy(F.xxhash64("record_id"), "record_id", "text").limit(MOST_LABELLED).collect()
+        some = fixed_sample(some, "record_id", MOST_LABELLED, labelled_rows).collect()
         more = [(label_code(r.label), r.text) for r in some]
     net = spark.sparkContext.broadcast(train_twice(clean, more))
     return rows.mapInPandas(_segments(net, min_words), SEGMENTS)
@@ -329,7 +330,9 @@ def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = both.withColumn("key", F.col("record_id") * 2 + (F.col("record_kind") == "term").cast("long"))
     word_count = F.size(F.split(F.trim(F.regexp_replace("text", r"[\s\p{Z}]+", " ")), " "))
     rows = rows.filter((F.col("record_kind") == "post") & (word_count >= 5) | (F.col("record_kind") == "term") & (word_count >= 4))
-    found = language_segments(rows, samples, "key", "text", "label", 4, labelled=rows.drop("record_id").withColumnRenamed("key", "record_id"))
+    # Counts without a column come from the files' footers.
+    about = sum(spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("processed_posts", "term_counts"))
+    found = language_segments(rows, samples, "key", "text", "label", 4, labelled_rows=about, labelled=rows.drop("record_id").withColumnRenamed("key", "record_id"))
     # Posts whose fifth word is a hashtag fall out here: the network's own count is of plain words.
     kind = F.when(F.pmod("record_id", F.lit(2)) == 1, "term").otherwise("post")
     return found.select(
