@@ -40,7 +40,8 @@ MOST_WINDOWS = 10_000
 SWITCH, LEAST_BYTES = 3.5, 20
 #: A label's language stands if its mean probability is at least this part of the highest.
 LABEL_WORTH = 0.3
-CHUNK_BYTES = 1 << 20
+#: Bytes that go through the network at once.
+CHUNK_BYTES = 1 << 17
 
 # How labels name these languages.
 NAMES = {
@@ -89,11 +90,19 @@ class ByteNet:
 
     def windows(self, flat: np.ndarray) -> np.ndarray:
         """Log probabilities for the window that begins at each block; ``flat`` is a whole number of blocks, and the
-        bytes beyond the end are 0."""
+        bytes beyond the end are 0. Slices bound the memory, however long a text is."""
+        blocks = len(flat) // STRIDE
+        padded = np.concatenate([flat, np.zeros(BLOCKS * STRIDE, np.uint8)])
+        step = CHUNK_BYTES // STRIDE
+        return np.concatenate([self._slice(padded[at * STRIDE :], min(step, blocks - at)) for at in range(0, blocks, step)])
+
+    def _slice(self, flat: np.ndarray, blocks: int) -> np.ndarray:
+        """Log probabilities for the first ``blocks`` windows."""
+        flat = flat[: (blocks + BLOCKS) * STRIDE]
         pooled = np.concatenate([f.reshape(-1, STRIDE, FILTERS).max(1) for f in self.features(flat)], axis=1)
-        wide = pooled
+        wide = pooled[:blocks]
         for k in range(1, BLOCKS):
-            wide = np.maximum(wide, np.concatenate([pooled[k:], np.repeat(pooled[-1:], k, 0)])[: len(pooled)])
+            wide = np.maximum(wide, pooled[k : k + blocks])
         z = np.maximum(wide, 0) @ self.out + self.out_bias
         z -= z.max(1, keepdims=True)
         return z - np.log(np.exp(z).sum(1, keepdims=True))
