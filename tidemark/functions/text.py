@@ -14,8 +14,25 @@ from tidemark.functions import lexicon as L
 
 
 def any_of(words: Iterable[str]) -> str:
-    """One pattern for all literals; a single pass instead of one for each word."""
-    return "|".join(rf"\Q{w}\E" for w in sorted(set(words)))
+    """One pattern that finds any of the literals, a single pass instead of one for each word.
+
+    Words that hold another of the words are left out, and common beginnings are shared, so that at most places of a
+    text one look at a character decides."""
+    words = sorted(set(words))
+    words = [w for w in words if not any(x != w and x in w for x in words)]
+
+    def tree(tails: list[str]) -> str:
+        if "" in tails or not tails:
+            return ""
+        heads = sorted({t[0] for t in tails})
+        branches = [_literal(h) + tree([t[1:] for t in tails if t[0] == h]) for h in heads]
+        return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+    return f"(?=[{''.join(sorted({_literal(w[0]) for w in words}))}])" + tree(words) if words else "(?!)"
+
+
+def _literal(ch: str) -> str:
+    return ch if ch.isalnum() or ch == " " else f"\\{ch}"
 
 
 def relevant(text: Column, words: Iterable[str] | None = None) -> Column:
