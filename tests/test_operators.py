@@ -148,6 +148,22 @@ def test_zero_fill_and_dense(spark):
     assert timeseries.densified(s, ["f"], "t", "n", "1d").count() == 4
 
 
+def test_zero_fill_counts_weeks_without_terms(spark):
+    series = spark.createDataFrame([("g", "2024-01-01", "a", 1.0), ("g", "2024-01-15", "b", 2.0)], "g string, w string, t string, v double")
+    weeks = spark.createDataFrame([("g", f"2024-01-{d}") for d in ("01", "08", "08", "15", "22")] + [("h", "2024-01-01")], "g string, w string")
+    got = sorted(tuple(r) for r in timeseries.zero_filled(series, "g", "w", "t", "v", weeks).select("t", "w", "v").collect())
+    days = ["2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22"]
+    assert got == [("a", w, 1.0 if w == days[0] else 0.0) for w in days] + [("b", w, 2.0 if w == days[2] else 0.0) for w in days]
+
+
+def test_lifecycle_counts_weeks_without_terms(spark):
+    texts = [(dt.datetime(2024, 1, 1) + dt.timedelta(weeks=k), f"retinol serum skincare works post {n}") for k, size in enumerate((6, 2, 6, 1)) for n in range(size)]
+    texts += [(dt.datetime(2024, 1, 1) + dt.timedelta(weeks=k), f"lovely skincare evening number {n}") for k in (0, 2) for n in range(3)]
+    comments = spark.createDataFrame([(str(k), None, t, at) for k, (at, t) in enumerate(texts)], "commentId string, parentCommentId string, textOriginal string, publishedAt timestamp")
+    got = pipeline.run(comments, config={"terms": {"least_posts": 5}, "lifecycle": {"least_appearances": 1}})["lifecycle"].filter("term = 'retinol serum'").first()
+    assert (got.appearances, got.total_windows, got.latest_tfidf) == (2, 4, 0.0)
+
+
 def test_empty_tables(spark):
     comments = spark.createDataFrame([], "commentId string, parentCommentId string, textOriginal string, publishedAt timestamp")
     stages = pipeline.run(comments)

@@ -61,9 +61,11 @@ def derivatives(series: DataFrame, by: Sequence[str], time: str, value: str) ->
     return grown.withColumn("acceleration", F.col("growth") - F.lag("growth").over(w))
 
 
-def zero_filled(series: DataFrame, group: str, time: str, term: str, value: str) -> DataFrame:
-    """Every term of a group at every time of the group; 0.0 where there is no row."""
-    times, terms = series.select(group, time).distinct(), series.select(group, term).distinct()
+def zero_filled(series: DataFrame, group: str, time: str, term: str, value: str, times: DataFrame | None = None) -> DataFrame:
+    """Every term of a group at every time of the group; 0.0 where there is no row.
+
+    The times are those of ``times`` (group, time), which also holds times without a term; without it, those of the series."""
+    times, terms = (series if times is None else times).select(group, time).distinct(), series.select(group, term).distinct()
     grid = times.join(terms, group)
     return grid.join(series.select(group, time, term, value), [group, time, term], "left").fillna(0.0, [value])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -262,10 +263,13 @@ def q_tfidf_overall(spark, d):
     return top.select("category", "term", _r("tfidf_score").alias("tfidf_score"), "rank")
 
 
-def _weekly(spark: SparkSession, d: str) -> DataFrame:
+def _weekly_posts(spark: SparkSession, d: str) -> DataFrame:
     posts = table(spark, d, "processed_posts").filter("category is not null and timestamp is not null")
-    posts = posts.withColumn("window_start", F.to_date(timeseries.time_bin(F.col("timestamp"), "1w")))
-    scores = tfidf.term_scores(posts, ["category", "window_start"], "post_id", "cleaned_text")
+    return posts.withColumn("window_start", F.to_date(timeseries.time_bin(F.col("timestamp"), "1w")))
+
+
+def _weekly(spark: SparkSession, d: str) -> DataFrame:
+    scores = tfidf.term_scores(_weekly_posts(spark, d), ["category", "window_start"], "post_id", "cleaned_text")
     return tfidf.top_terms(scores, ["category", "window_start"], 10)
 
 
@@ -274,40 +278,46 @@ def q_tfidf_weekly(spark, d):
     return _weekly(spark, d).select("category", F.col("window_start").cast("string").alias("week"), "term", _r("tfidf_score").alias("tfidf_score"), "rank")
 
 
-def _filled(spark: SparkSession, d: str) -> DataFrame:
-    return timeseries.zero_filled(_weekly(spark, d), "category", "window_start", "term", "tfidf_score")
+def _filled(spark: SparkSession, d: str, all_weeks: bool) -> DataFrame:
+    weeks = _weekly_posts(spark, d) if all_weeks else None
+    return timeseries.zero_filled(_weekly(spark, d), "category", "window_start", "term", "tfidf_score", weeks)
 
 
 @query("q_zero_fill", f"WITH {S.FILLED} SELECT category, CAST(week AS VARCHAR) AS week, term, round(score, 6) AS tfidf_score FROM filled")
-def q_zero_fill(spark, d):
-    return _filled(spark, d).select("category", F.col("window_start").cast("string").alias("week"), "term", _r("tfidf_score").alias("tfidf_score"))
+def q_zero_fill(spark, d, all_weeks=False):
+    return _filled(spark, d, all_weeks).select("category", F.col("window_start").cast("string").alias("week"), "term", _r("tfidf_score").alias("tfidf_score"))
 
 
 @query("q_term_stats", f"WITH {S.V2} SELECT category, term, appearances, total_windows, round(max_tfidf, 6) AS max_tfidf, round(min_tfidf, 6) AS min_tfidf, round(latest_tfidf, 6) AS latest_tfidf, round(appearances * CAST(100 AS DOUBLE) / total_windows, 4) AS coverage FROM stats")
-def q_term_stats(spark, d):
-    got = lifecycle.appearances(_filled(spark, d))
+def q_term_stats(spark, d, all_weeks=False):
+    got = lifecycle.appearances(_filled(spark, d, all_weeks))
     return got.select("category", "term", "appearances", "total_windows", *[_r(c).alias(c) for c in ("max_tfidf", "min_tfidf", "latest_tfidf")], _r(lookup.coverage(F.col("appearances"), F.col("total_windows")), 4).alias("coverage"))
 
 
 @query("q_decay_v2", f"WITH {S.V2} SELECT category, term, trend_state, round(decay_confidence, 6) AS decay_confidence, round(avg_growth_rate, 6) AS avg_growth_rate FROM v2")
-def q_decay_v2(spark, d):
-    return lifecycle.decay_v2(_filled(spark, d)).select("category", "term", "trend_state", _r("decay_confidence").alias("decay_confidence"), _r("avg_growth_rate").alias("avg_growth_rate"))
+def q_decay_v2(spark, d, all_weeks=False):
+    return lifecycle.decay_v2(_filled(spark, d, all_weeks)).select("category", "term", "trend_state", _r("decay_confidence").alias("decay_confidence"), _r("avg_growth_rate").alias("avg_growth_rate"))
 
 
 @query("q_decay_summary", f"WITH {S.V2} SELECT category, count(*) AS total_terms, " + ", ".join(f"count(*) FILTER (trend_state = '{s}') AS {s.lower()}" for s in lifecycle.STATES) + ", round(count(*) FILTER (trend_state = 'Decaying') * CAST(100 AS DOUBLE) / count(*), 4) AS decay_percentage FROM v2 GROUP BY 1")
-def q_decay_summary(spark, d):
-    got = lifecycle.state_summary(lifecycle.decay_v2(_filled(spark, d)))
+def q_decay_summary(spark, d, all_weeks=False):
+    got = lifecycle.state_summary(lifecycle.decay_v2(_filled(spark, d, all_weeks)))
     return got.withColumn("decay_percentage", _r("decay_percentage", 4))
 
 
 @query("q_top_decaying", f"WITH {S.V2} SELECT category, term, round(decay_confidence, 6) AS decay_confidence, round(max_tfidf, 6) AS max_tfidf, rank FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY round(decay_confidence, 9) DESC, round(max_tfidf, 9) DESC, term) AS rank FROM v2 JOIN stats USING (category, term) WHERE trend_state = 'Decaying') WHERE rank <= 10")
-def q_top_decaying(spark, d):
-    filled = _filled(spark, d)
+def q_top_decaying(spark, d, all_weeks=False):
+    filled = _filled(spark, d, all_weeks)
     both = lifecycle.decay_v2(filled).filter("trend_state = 'Decaying'").join(lifecycle.appearances(filled), ["category", "term"])
     top = lookup.top_k(both, 10, ["category"], [F.desc(_r("decay_confidence", 9)), F.desc(_r("max_tfidf", 9)), F.col("term")])
     return top.select("category", "term", _r("decay_confidence").alias("decay_confidence"), _r("max_tfidf").alias("max_tfidf"), "rank")
 
 
+# The SQL of these has the weeks with a top term; the whole time axis is every week in which the category has a post.
+for _name in ("q_zero_fill", "q_term_stats", "q_decay_v2", "q_decay_summary", "q_top_decaying"):
+    query(f"{_name}_all_weeks", SQL[_name].replace("SELECT DISTINCT category, week FROM weekly", "SELECT DISTINCT category, week FROM docs"))(partial(QUERIES[_name], all_weeks=True))
+
+
 # Vocabulary
 
 @query("q_spelling", f"SELECT term, coalesce(v, trim(term)) AS corrected, v IS NOT NULL AS was_corrected, count(*) AS records FROM term_counts LEFT JOIN {S.SPELLING} ON lower(trim(term)) = k WHERE term IS NOT NULL GROUP BY 1, 2, 3")

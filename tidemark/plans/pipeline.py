@@ -40,18 +40,25 @@ def trend_candidates(series: DataFrame) -> DataFrame:
     return series.orderBy("time_bin", F.desc("rate_of_change"), "interval", "feature_type", "feature")
 
 
+def weekly_posts(processed: DataFrame, config: Mapping | None = None) -> DataFrame:
+    """The posts of each category with enough posts, with their window_start."""
+    least = merged(config)["terms"]["least_posts"]
+    enough = processed.groupBy("category").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select("category")
+    return processed.join(enough, "category").withColumn("window_start", F.to_date(timeseries.time_bin(F.col("timestamp"), "1w")))
+
+
 def weekly_terms(processed: DataFrame, doc: str, config: Mapping | None = None) -> DataFrame:
     """(category, window_start, term, tfidf_score, rank) of each category with enough posts."""
     settings = merged(config)["terms"]
-    enough = processed.groupBy("category").agg(F.count("*").alias("_n")).filter(F.col("_n") >= settings["least_posts"]).select("category")
-    weekly = processed.join(enough, "category").withColumn("window_start", F.to_date(timeseries.time_bin(F.col("timestamp"), "1w")))
-    scores = tfidf.term_scores(weekly, ["category", "window_start"], doc, "text", least_docs=settings["least_per_window"])
+    scores = tfidf.term_scores(weekly_posts(processed, config), ["category", "window_start"], doc, "text", least_docs=settings["least_per_window"])
     return tfidf.top_terms(scores, ["category", "window_start"], settings["weekly_top"])
 
 
-def term_lifecycle(weekly: DataFrame, config: Mapping | None = None) -> DataFrame:
-    """State and figures of each term with enough appearances over its category's weeks."""
-    filled = timeseries.zero_filled(weekly, "category", "window_start", "term", "tfidf_score")
+def term_lifecycle(weekly: DataFrame, weeks: DataFrame, config: Mapping | None = None) -> DataFrame:
+    """State and figures of each term with enough appearances over its category's ``weeks`` (category, window_start).
+
+    Weeks with a post count even where no term was found in them."""
+    filled = timeseries.zero_filled(weekly, "category", "window_start", "term", "tfidf_score", weeks)
     stats = lifecycle.appearances(filled, least=merged(config)["lifecycle"]["least_appearances"])
     return lifecycle.decay_v2(filled).join(stats, ["category", "term"])
 
@@ -66,4 +73,5 @@ def after_posts(processed: DataFrame, config: Mapping | None = None) -> dict[str
     """The stages that read processed posts."""
     series = feature_series(processed, config)
     weekly = weekly_terms(processed, "post_key", config)
-    return {"posts": processed, "series": series, "candidates": trend_candidates(series), "weekly_terms": weekly, "lifecycle": term_lifecycle(weekly, config)}
+    lifecycles = term_lifecycle(weekly, weekly_posts(processed, config), config)
+    return {"posts": processed, "series": series, "candidates": trend_candidates(series), "weekly_terms": weekly, "lifecycle": lifecycles}
