@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import zipfile
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -10,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import classify, text
+from tidemark.functions import lexicon as L
 from tidemark.operators import lifecycle, lookup, semantic, standardise, tfidf, timeseries, vocabulary
 from tidemark.plans import pipeline
 from tidemark.sources import files, synthetic
@@ -130,6 +132,37 @@ def test_vocabulary(spark):
     assert row.processed_term == "skin routine" and row.processing_steps == ["language", "translation"]
 
 
+def test_nearest_word(spark):
+    terms = spark.createDataFrame([("serum",), ("Xerum ",), ("erum",), ("seerum",), ("kerum",), ("eé",), ("maskarra",), ("sreum",)], "t string")
+    known = spark.createDataFrame([("serum", 5), ("Serum", 5), ("zerum", 9), ("é", 7), ("maskara", 30)], "word string, count long")
+    got = {r.t: (r.corrected, r.method) for r in vocabulary.corrected(terms, "t", vocabulary=known).collect()}
+    assert got == {"serum": ("serum", "none"), "Xerum ": ("serum", "nearest"), "erum": ("serum", "nearest"), "seerum": ("serum", "nearest"),
+                   "kerum": ("serum", "nearest"), "eé": ("é", "nearest"), "maskarra": ("maskarra", "none"), "sreum": ("sreum", "none")}
+    twice = {r.t: r.corrected for r in vocabulary.corrected(terms, "t", vocabulary=known, distance=2).collect()}
+    assert twice["sreum"] == "serum" and twice["maskarra"] == "maskarra"
+
+
+def test_nearest_words_of_a_table(spark):
+    import __spark_entry__ as entry
+
+    def near(a, b):
+        a, b = sorted((a, b), key=len)
+        k = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+        return a == b or len(b) - len(a) < 2 and a[k + (len(a) == len(b)):] == b[k + 1:]
+
+    folder = "/root/testdata/sf0.1"
+    rows = [r.term for r in spark.read.parquet(f"{folder}/term_counts.parquet").collect() if r.term is not None]
+    counts = Counter(t.strip(" ").lower() for t in rows)
+    known = [(-n, w) for w, n in counts.items() if w and n >= vocabulary.KNOWN_ROWS and L.SPELLING.get(w, w) == w]
+    nearest = {w: w if (-n, w) in known else min((k for k in known if near(w, k[1])), default=(0, w))[1] for w, n in counts.items() if w}
+    low = lambda t: t.strip(" ").lower()
+    want = {t: L.SPELLING.get(low(t)) or (nearest[low(t)] if low(t) and nearest[low(t)] != low(t) else t.strip(" ")) for t in rows}
+    got = {r.term: r.corrected for r in entry.queries()["q_spelling_nearest"](spark, folder).collect()}
+    assert got == want
+    mapped = {r.original_term: r.processed_term for r in entry.queries()["q_term_pipeline_nearest"](spark, folder).collect()}
+    assert mapped == want and sum(v != L.SPELLING.get(low(t), t.strip(" ")) for t, v in want.items()) > 0
+
+
 def test_age(spark):
     df = spark.createDataFrame([("19 yo",), ("sixteen",), ("age 45",), ("boomer",), ("nothing",), (None,)], "t string")
     assert [r.g for r in df.select(classify.age_group(F.col("t"))["age_group"].alias("g")).collect()] == ["gen_z", "teen", "gen_x", "boomer", "unknown", "unknown"]

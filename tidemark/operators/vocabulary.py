@@ -18,6 +18,8 @@ VOTES = {
 }
 #: Words in a mapping dictionary that may be broadcast.
 MOST_WORDS = 200_000
+#: Rows from which a term of a table counts as a known word.
+KNOWN_ROWS = 20
 
 
 def hashtag_vocabulary(texts: DataFrame, text: str) -> DataFrame:
@@ -39,12 +41,26 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
+def known_words(terms: DataFrame, term: str, least: int = KNOWN_ROWS) -> DataFrame:
+    """(word, count): the trimmed lower-case terms that at least ``least`` rows hold."""
+    return terms.groupBy(F.lower(F.trim(F.col(term))).alias("word")).agg(F.count("*").alias("count")).filter((F.col("word") != "") & (F.col("count") >= least))
+
+
+def _shortened(word: Column, most: int) -> Column:
+    """The word and what is left of it without up to ``most`` letters. Words within ``most`` edits share one of these."""
+    without = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(w.substr(F.lit(1), i - 1), w.substr(i + 1, F.length(w))))
+    out = F.array(word)
+    for _ in range(most):
+        out = F.array_union(out, F.flatten(F.transform(out, without)))
+    return out
+
+
 def corrected(terms: DataFrame, term: str, words: Mapping[str, str] = L.SPELLING, vocabulary: DataFrame | None = None, distance: int = 1) -> DataFrame:
     """Adds corrected, was_corrected, method and changed.
 
     A dictionary hit on the trimmed lower-case term counts as corrected even where the word stays the same. Others
-    stay as they are, trimmed; with ``vocabulary`` (word, count) they take the nearest word within ``distance``
-    edits of those with the same first letter and nearly the same length, the most frequent first, then by alphabet."""
+    stay as they are, trimmed; with ``vocabulary`` (word, count) those that aren't in it take its nearest word within
+    ``distance`` edits, the most frequent first, then by alphabet. Misspellings of the dictionary are no such words."""
     spark = terms.sparkSession
     if len(words) > MOST_WORDS:
         raise ValueError(f"more than {MOST_WORDS} words in the dictionary")
@@ -53,12 +69,12 @@ def corrected(terms: DataFrame, term: str, words: Mapping[str, str] = L.SPELLING
     out = terms.withColumn("_key", low).join(table, "_key", "left")
     word, method = F.coalesce("_word", F.trim(F.col(term))), F.when(F.col("_word").isNotNull(), "dictionary")
     if vocabulary is not None:
-        block = lambda c: F.concat(F.substring(c, 1, 1), F.lit("|"))
-        own = out.filter("_word is null and _key <> ''").select("_key").distinct()
-        own = own.withColumn("_block", F.explode(F.transform(F.sequence(F.length("_key") - distance, F.length("_key") + distance), lambda n: F.concat(block(F.col("_key")), n.cast("string")))))
-        known = vocabulary.select(F.lower("word").alias("_near"), F.col("count").alias("_count")).withColumn("_block", F.concat(block(F.col("_near")), F.length("_near").cast("string")))
-        near = own.join(known, "_block").withColumn("_d", F.levenshtein("_key", "_near")).filter(F.col("_d") <= distance)
-        near = near.groupBy("_key").agg(F.min_by("_near", F.struct("_d", (-F.col("_count")).alias("c"), "_near")).alias("_near"))
+        own = out.filter("_word is null and _key <> ''").select("_key").distinct().withColumn("_part", F.explode(_shortened(F.col("_key"), distance)))
+        known = vocabulary.groupBy(F.lower(F.trim("word")).alias("_near")).agg(F.sum("count").alias("_count")).filter("_near <> ''")
+        known = known.join(table.filter("_key <> _word"), F.col("_near") == F.col("_key"), "left_anti")
+        near = own.join(known.withColumn("_part", F.explode(_shortened(F.col("_near"), distance))), "_part")
+        near = near.withColumn("_d", F.levenshtein("_key", "_near")).filter(F.col("_d") <= distance)
+        near = near.groupBy("_key").agg(F.min_by("_near", F.struct("_d", (-F.col("_count")).alias("c"), "_near")).alias("_near")).filter("_near <> _key")
         out = out.join(near, "_key", "left")
         word = F.coalesce("_word", "_near", F.trim(F.col(term)))
         method = F.coalesce(method, F.when(F.col("_near").isNotNull(), "nearest"))
@@ -82,12 +98,13 @@ def language(term: Column) -> Column:
 
 
 def processed_terms(terms: DataFrame, term: str, translations: DataFrame | None = None, words: Mapping[str, str] = L.SPELLING,
-                    detect: Callable[[Column], Column] = language) -> DataFrame:
+                    detect: Callable[[Column], Column] = language, vocabulary: DataFrame | None = None) -> DataFrame:
     """One row for each distinct non-null term: original_term, processed_term, spelling_corrected, spelling_method, translated, source_language, language_confidence, is_english, processing_steps.
 
-    Terms of another language with confidence 0.7 or more are looked up in ``translations`` (term, translation)."""
+    Terms of another language with confidence 0.7 or more are looked up in ``translations`` (term, translation).
+    ``vocabulary`` as in ``corrected``."""
     distinct = terms.select(F.col(term).alias("original_term")).filter("original_term is not null").distinct()
-    out = corrected(distinct, "original_term", words).withColumn("_lang", detect(F.col("corrected")))
+    out = corrected(distinct, "original_term", words, vocabulary).withColumn("_lang", detect(F.col("corrected")))
     out = out.withColumns({"source_language": F.col("_lang.language"), "language_confidence": F.col("_lang.confidence")})
     out = out.withColumn("is_english", F.col("source_language") == "en")
     foreign = ~F.col("is_english") & (F.col("source_language") != "unknown") & (F.col("language_confidence") >= 0.7)

@@ -320,31 +320,40 @@ for _name in ("q_zero_fill", "q_term_stats", "q_decay_v2", "q_decay_summary", "q
 
 # Vocabulary
 
+def _known(spark: SparkSession, d: str, nearest: bool) -> DataFrame | None:
+    return vocabulary.known_words(table(spark, d, "term_counts"), "term") if nearest else None
+
+
 @query("q_spelling", f"SELECT term, coalesce(v, trim(term)) AS corrected, v IS NOT NULL AS was_corrected, count(*) AS records FROM term_counts LEFT JOIN {S.SPELLING} ON lower(trim(term)) = k WHERE term IS NOT NULL GROUP BY 1, 2, 3")
-def q_spelling(spark, d):
+def q_spelling(spark, d, nearest=False):
     terms = table(spark, d, "term_counts").filter("term is not null").select("term")
-    return vocabulary.corrected(terms, "term").groupBy("term", "corrected", "was_corrected").agg(F.count("*").alias("records"))
+    return vocabulary.corrected(terms, "term", vocabulary=_known(spark, d, nearest)).groupBy("term", "corrected", "was_corrected").agg(F.count("*").alias("records"))
 
 
 @query("q_term_pipeline", f"WITH c AS (SELECT DISTINCT term, coalesce(v, trim(term)) AS corrected, v IS NOT NULL AS hit FROM term_counts LEFT JOIN {S.SPELLING} ON lower(trim(term)) = k WHERE term IS NOT NULL), w AS (SELECT *, regexp_split_to_array(lower(trim(corrected)), '\\s+') AS ws FROM c), l AS (SELECT *, {S.LANGUAGE} AS lang FROM w) SELECT term AS original_term, corrected AS processed_term, hit AS spelling_corrected, lang AS source_language, round(CASE WHEN lang = 'unknown' THEN 0 ELSE least(0.9, greatest(0.5, length(trim(corrected)) / CAST(20 AS DOUBLE))) END, 6) AS language_confidence, lang = 'en' AS is_english FROM l")
-def q_term_pipeline(spark, d):
-    got = vocabulary.processed_terms(table(spark, d, "term_counts"), "term")
+def q_term_pipeline(spark, d, nearest=False):
+    got = vocabulary.processed_terms(table(spark, d, "term_counts"), "term", vocabulary=_known(spark, d, nearest))
     return got.select("original_term", "processed_term", "spelling_corrected", "source_language", _r("language_confidence").alias("language_confidence"), "is_english")
 
 
 @query("q_vocab_mapping", f"SELECT term_id, term AS term_original, coalesce(v, trim(term)) AS term_processed, v IS NOT NULL AS term_was_corrected FROM term_counts LEFT JOIN {S.SPELLING} ON lower(trim(term)) = k")
-def q_vocab_mapping(spark, d):
+def q_vocab_mapping(spark, d, nearest=False):
     terms = table(spark, d, "term_counts").select("term_id", "term")
-    got = vocabulary.apply_mapping(terms, "term", vocabulary.processed_terms(terms, "term"))
+    got = vocabulary.apply_mapping(terms, "term", vocabulary.processed_terms(terms, "term", vocabulary=_known(spark, d, nearest)))
     return got.select("term_id", "term_original", "term_processed", "term_was_corrected")
 
 
 @query("q_processing_rates", f"WITH c AS (SELECT DISTINCT term, v IS NOT NULL AS hit FROM term_counts LEFT JOIN {S.SPELLING} ON lower(trim(term)) = k WHERE term IS NOT NULL) SELECT count(*) AS terms, round(count(*) FILTER (hit) * CAST(100 AS DOUBLE) / greatest(count(*), 1), 6) AS spelling_corrected_rate, CAST(0 AS DOUBLE) AS translated_rate FROM c")
-def q_processing_rates(spark, d):
-    got = vocabulary.processing_rates(vocabulary.processed_terms(table(spark, d, "term_counts"), "term"))
+def q_processing_rates(spark, d, nearest=False):
+    got = vocabulary.processing_rates(vocabulary.processed_terms(table(spark, d, "term_counts"), "term", vocabulary=_known(spark, d, nearest)))
     return got.select("terms", _r("spelling_corrected_rate").alias("spelling_corrected_rate"), "translated_rate")
 
 
+# The SQL of these has the dictionary alone; these go on to the nearest of the table's own known words.
+for _name in ("q_spelling", "q_term_pipeline", "q_vocab_mapping", "q_processing_rates"):
+    query(f"{_name}_nearest")(partial(QUERIES[_name], nearest=True))
+
+
 @query("q_language_distribution", "SELECT source_language, count(*) AS records FROM term_counts WHERE source_language IS NOT NULL GROUP BY 1")
 def q_language_distribution(spark, d):
     return vocabulary.value_counts(table(spark, d, "term_counts"), "source_language").withColumnRenamed("count", "records")
