@@ -141,6 +141,22 @@ def test_canonical():
     assert all(best(v) == -1 for v in ("brow gel", "jorenti brow gel", "????", "same as hers", "", "my new"))
 
 
+def test_every_rare_part_is_looked_at():
+    others = ["Abdorin", "Ekvalt", "Uphensk", "Ostrigam", "Ilmendar", "Yrsafeth", "Hjonvik", "Draskoff", "Fenwhil"]
+    entries = [(k, f"{b} tinted lip balm velvet matte", "product") for k, b in enumerate(others)]
+    entries += [(k + 20, b, "brand") for k, b in enumerate(others)] + [(50, "Zuqo", "brand"), (51, "Zuqo lip balm", "product")]
+    assert canonical.Index(entries).best("tinted lip balm velvet matte zuqo")[0][1] == 51
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    values = spark.createDataFrame([(v,) for v in ("new opulmwy!!", "opulmwy creme legere", "curl cream by opulmwy", "zubletor brow gel", "Maison Kyamvx", "brow gel")], "v string")
+    listed = spark.createDataFrame(LIST, "i long, n string, k string")
+    found = lambda: sorted((r.value, r.canon_id, round(r.score, 6)) for r in canonical.map_values(values, listed, "v", "i", "n", "k").collect())
+    one = found()
+    monkeypatch.setattr(canonical, "BLOCK", 3)
+    assert found() == one
+
+
 def test_map_values(spark):
     values = spark.createDataFrame([("kyamvex",), ("kyamvex",), (None,), ("  ",), ("x",)], "v string")
     listed = spark.createDataFrame([*LIST, (99, "Maison Kyamvex", "brand"), (None, "Nobody", "brand")], "i long, n string, k string")

@@ -10,7 +10,8 @@ better counts. An n-gram weighs by how few reference entries hold it, so that th
 product type tells the brand's entries apart; n-grams no entry holds weigh most and count against a match.
 
 Scale: work is per distinct value. The index lives in broadcast blocks of at most ``BLOCK`` entries; a longer
-reference list takes several blocks whose best candidates are merged, so that no broadcast grows with the data.
+reference list takes several blocks whose best candidates are merged, so that no broadcast grows with the data. What
+is counted over the list (weights, house words, rare parts) is counted over all blocks.
 
 Defined results: a null or blank value has no row; a value of which nothing is left (signs, filler) is
 unmatched; equal scores of different entries leave too small a margin and are unmatched, except that an
@@ -23,7 +24,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,9 +34,9 @@ from pyspark.sql import functions as F
 #: Reference entries in one broadcast index.
 BLOCK = 20_000
 TASKS_PER_CORE = 4
-#: Least cosine of a candidate, rare parts that are looked at exactly, least final score and least distance of it
-#: to that of the next entry. The final score is 0.6 cosine + 0.4 likeness of the whole strings.
-CANDIDATE, LOOKED_AT, ACCEPT, MARGIN = 0.27, 5, 0.42, 0.01
+#: Least cosine of a candidate, least final score and least distance of it to that of the next entry. The final score
+#: is 0.6 cosine + 0.4 likeness of the whole strings.
+CANDIDATE, ACCEPT, MARGIN = 0.27, 0.42, 0.01
 #: A word is a house word if at least so many brands hold it.
 HOUSE_BRANDS = 3
 # Words people put around a name.
@@ -127,54 +128,68 @@ def alike(a: str, b: str) -> float:
     return 1 - row[-1] / max(len(a), len(b), 1)
 
 
-class Index:
-    """The inverted index of one block of the reference list."""
+class Listed:
+    """What an index needs to know of the whole reference list, however many blocks it takes.
 
-    def __init__(self, entries: list[tuple[int, str, str | None]]) -> None:
-        words = {i: flat(name) for i, name, _ in entries}
-        of_brands = Counter(w for i, _, kind in entries if kind == "brand" for w in set(words[i]))
-        house = {w for w, n in of_brands.items() if n >= HOUSE_BRANDS}
+    ``entries`` is called for each of two passes. Kept are the words of the list and its n-grams, not the entries."""
+
+    def __init__(self, entries: Callable[[], Iterable[tuple[int, str, str | None]]]) -> None:
+        self.df: Counter[str] = Counter()
+        brands: list[list[str]] = []
         # The rare part of an entry: words of its brand, those that products share with it where there are such.
-        sold = {w for i, _, kind in entries if kind != "brand" for w in words[i]}
+        sold: set[str] = set()
+        for _, name, kind in entries():
+            ws = flat(name)
+            self.df.update(set(ws))
+            brands.append(ws) if kind == "brand" else sold.update(ws)
+        of_brands = Counter(w for ws in brands for w in set(ws))
+        house = {w for w, n in of_brands.items() if n >= HOUSE_BRANDS}
         cores = set()
-        for i, _, kind in entries:
-            if kind == "brand":
-                own = [w for w in words[i] if w not in house]
-                cores.add(tuple([w for w in own if w in sold] or own))
+        for ws in brands:
+            own = [w for w in ws if w not in house]
+            cores.add(tuple([w for w in own if w in sold] or own))
         cores -= {()}
-        by_word = {c[0]: c for c in sorted(cores)}
-        df = Counter(w for ws in words.values() for w in set(ws))
+        self.by_word = {c[0]: c for c in sorted(cores)}
+        plain = set(self.df) - {w for c in cores for w in c} | FILLER
+        self.known = {g for w in plain for g in (*_pairs(w), *_pairs(by_sound(w)))}
+        held: Counter[str] = Counter()
+        n = 0
+        for _, name, kind in entries():
+            _, forms = self.forms(flat(name), kind)
+            held.update({g for form in forms for g in grams(form)})
+            n += bool(forms)
+        self.top = 1 + math.log(n or 1)
+        self.weight = {g: 1 + math.log(n / who) for g, who in held.items()}
+
+    def forms(self, ws: list[str], kind: str | None) -> tuple[str, list[str]]:
+        """The rare part of an entry of these words and its forms, as typed and by sound."""
+        if not ws:
+            return "", []
+        core = next((self.by_word[w] for w in ws if w in self.by_word and all(x in ws for x in self.by_word[w])), None)
+        core = core or (min(ws, key=lambda w: (self.df[w], -len(w))),)
+        turned = {tuple(ws[k:] + ws[:k]) for k in range(len(ws))}
+        if kind == "brand":
+            turned.add(core)
+        return "".join(core), [x for form in sorted(turned) for x in sorted({"".join(form), by_sound("".join(form))})]
+
+
+class Index:
+    """The inverted index of one block of the reference list."""
+
+    def __init__(self, entries: list[tuple[int, str, str | None]], listed: Listed | None = None) -> None:
+        listed = listed or Listed(lambda: entries)
+        self.top, self.weight, self.known = listed.top, listed.weight, listed.known
         self.ids: list[int] = []
         self.cores: list[str] = []
         self.forms: list[str] = []
-        forms: list[list[str]] = []
-        plain = {w for ws in words.values() for w in ws} - {w for c in cores for w in c} | FILLER
-        self.known = {g for w in plain for g in (*_pairs(w), *_pairs(by_sound(w)))}
-        for i, _, kind in sorted(entries):
-            ws = words[i]
-            if not ws:
-                continue
-            core = next((by_word[w] for w in ws if w in by_word and all(x in ws for x in by_word[w])), None)
-            core = core or (min(ws, key=lambda w: (df[w], -len(w))),)
-            turned = {tuple(ws[k:] + ws[:k]) for k in range(len(ws))}
-            if kind == "brand":
-                turned.add(core)
-            for form in sorted(turned):
-                for squeezed in {"".join(form), by_sound("".join(form))}:
-                    self.ids.append(i)
-                    self.cores.append("".join(core))
-                    self.forms.append(squeezed)
-                    forms.append(grams(squeezed))
-        held: dict[str, set[int]] = {}
-        for i, gs in zip(self.ids, forms):
-            for g in gs:
-                held.setdefault(g, set()).add(i)
-        n = len(set(self.ids)) or 1
-        self.top = 1 + math.log(n)
-        self.weight = {g: 1 + math.log(n / len(who)) for g, who in held.items()}
+        for i, name, kind in sorted(entries, key=lambda e: (e[0], e[1], e[2] or "")):
+            core, forms = listed.forms(flat(name), kind)
+            self.ids += [i] * len(forms)
+            self.cores += [core] * len(forms)
+            self.forms += forms
         at: dict[str, list[tuple[int, float]]] = {}
-        for k, gs in enumerate(forms):
-            vector = {g: self.weight[g] * c for g, c in Counter(gs).items()}
+        for k, form in enumerate(self.forms):
+            vector = {g: self.weight[g] * c for g, c in Counter(grams(form)).items()}
             norm = math.sqrt(sum(x * x for x in vector.values())) or 1.0
             for g, x in vector.items():
                 at.setdefault(g, []).append((k, x / norm))
@@ -192,7 +207,7 @@ class Index:
         return got / math.sqrt(total) if total else got
 
     def best(self, value: str) -> list[tuple[float, int]]:
-        """(score, id) of the two best entries whose rare part the value holds."""
+        """(score, id) of the two best entries whose rare part the value holds; the second only where the margin may be too small."""
         words = flat(value)
         squeezed = "".join(words)
         if not squeezed or not self.ids:
@@ -203,7 +218,8 @@ class Index:
         out: dict[int, float] = {}
         looked: dict[str, bool] = {}
         for k in np.argsort(-got, kind="stable"):
-            if got[k] < CANDIDATE or len(looked) > LOOKED_AT:
+            # No later form can come within the margin of the best.
+            if got[k] < CANDIDATE or out and 0.6 * float(got[k]) + 0.4 < max(out.values()) - MARGIN:
                 break
             core = self.cores[k]
             if core not in looked:
@@ -224,10 +240,11 @@ def map_values(values: DataFrame, reference: DataFrame, value_col: str, id_col:
     # An entry repeated in the list counts once, by its lowest id.
     listed = listed.filter("i is not null and n is not null").groupBy("n", "k").agg(F.min("i").alias("i"))
     blocks = -(-listed.count() // BLOCK)
+    whole = Listed(lambda: ((r.i, r.n, r.k) for r in listed.toLocalIterator())) if blocks > 1 else None
     found = None
     for b in range(blocks):
         part = listed.filter(F.pmod(F.xxhash64("n"), F.lit(blocks)) == b)
-        index = spark.sparkContext.broadcast(Index([(r.i, r.n, r.k) for r in part.collect()]))
+        index = spark.sparkContext.broadcast(Index([(r.i, r.n, r.k) for r in part.collect()], whole))
 
         def look(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for pdf in batches:
