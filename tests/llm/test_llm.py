@@ -184,6 +184,15 @@ def test_leaks(spark):
     assert leakage.find_leaks(docs, spark.createDataFrame(items).limit(0)).count() == 0
 
 
+def test_leak_with_scattered_changes():
+    passage = [f"{a}{b}" for a in ("lamp", "road", "tree", "milk", "sand", "corn", "wool", "fish", "rain") for b in "abcdefghij"]
+    copy = passage[:45]
+    for k in (8, 17, 26, 35):
+        copy[k] = passage[80 + k % 7]
+    index = leakage.ItemIndex([(1, " ".join(passage)), (2, " ".join(reversed(passage)))])
+    assert index.leaked("so it was said that " + " ".join(copy)) == [(1, 41 / 90)]
+
+
 def test_leaks_against_brute_force(spark):
     docs, items = read("documents").dropna(subset=["text"]), read("eval_items")
     got = {(r.doc_id, r.item_id) for r in Q["p6_found"](spark, DATA).collect()}

@@ -115,9 +115,6 @@ class ItemIndex:
         out = []
         for item, diagonals in seeds.items():
             passage = self.words[item]
-            possible = sum(len(set(ks)) + WINDOW - 1 for ks in diagonals.values())
-            if possible < SHARE * len(passage):
-                continue
             runs = [run for shift, ks in diagonals.items() for run in self._runs(passage, words, shift, sorted(set(ks)))]
             share = len(self._consistent(passage, words, runs)) / len(passage)
             if share >= SHARE:
