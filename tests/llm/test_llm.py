@@ -279,6 +279,15 @@ def test_kmeans():
     assert found.shape == (6, 6) and (np.abs((found @ centres.T).max(0)) > 0.98).all()
 
 
+def test_terms_are_not_capped(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "MOST_TERMS", 5, raising=False)
+    words = [a + b for a in "bdfghklmnp" for b in ("ora", "eli", "uta")]
+    rows = [(k * 4 + n, f"{w} {v}") for k, (w, v) in enumerate(zip(words, words[1:])) for n in range(subjects.LEAST_TEXTS)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    examples = spark.createDataFrame([("bora", ["skincare"])], "text string, subjects array<string>")
+    assert set(words) <= set(subjects.fit(texts, examples)[0].names)
+
+
 def test_subjects_of_examples(spark):
     examples = read("subject_examples")
     posts = spark.createDataFrame(read("processed_posts")[["post_id", "cleaned_text"]]).select(F.col("post_id").alias("id"), F.col("cleaned_text").alias("text"))
