@@ -266,6 +266,14 @@ def test_hooks(spark):
     assert [tuple(r) for r in vectors.select(*hooks.vector_columns("v", 3, "e")).collect()] == [(3.0, 1.0, None), (0.0, 1.0, None), (1.0, 1.0, None)]
 
 
+def test_vector_columns_hold_whole_vectors(spark):
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    lengths = {r.n for r in spark.read.parquet(f"{folder}/embeddings.parquet").select(F.size("embedding").alias("n")).distinct().collect()}
+    assert max(lengths) == len(entry.queries()["q_vector_columns_all"](spark, folder).columns) - 1
+
+
 def test_command_line(spark, tmp_path):
     from tidemark.__main__ import main
 

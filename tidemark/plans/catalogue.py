@@ -21,6 +21,8 @@ from tidemark.streaming import bins
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+#: Numbers in a vector of the test tables.
+VECTOR = 64
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -534,6 +536,11 @@ def q_vector_columns(spark, d):
     return table(spark, d, "embeddings").select("vec_id", *hooks.vector_columns("embedding", 3, "v"))
 
 
+@query("q_vector_columns_all", f"SELECT vec_id, {', '.join(f'embedding[{k + 1}] AS v_{k}' for k in range(VECTOR))} FROM embeddings")
+def q_vector_columns_all(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", *hooks.vector_columns("embedding", VECTOR, "v"))
+
+
 @query("q_union_columns", "SELECT videoId, textOriginal, NULL AS title, likeCount FROM comments UNION ALL SELECT videoId, NULL, title, likeCount FROM videos")
 def q_union_columns(spark, d):
     comments = table(spark, d, "comments").select("videoId", "textOriginal", "likeCount")
