@@ -266,6 +266,15 @@ def test_hooks(spark):
     assert [tuple(r) for r in vectors.select(*hooks.vector_columns("v", 3, "e")).collect()] == [(3.0, 1.0, None), (0.0, 1.0, None), (1.0, 1.0, None)]
 
 
+def test_stages_are_queries(spark):
+    import __spark_entry__ as entry
+
+    got = entry.queries()["q_stage_candidates"](spark, "/root/testdata/sf0.001")
+    rows = got.select("interval", "feature_type", "time_bin", "rate_of_change").collect()
+    assert {(r.interval, r.feature_type) for r in rows} == {(i, f) for i in ("1h", "6h") for f in ("hashtags", "tokens")}
+    assert all((a.time_bin, -a.rate_of_change) <= (b.time_bin, -b.rate_of_change) for a, b in zip(rows, rows[1:]))
+
+
 def test_vector_columns_hold_whole_vectors(spark):
     import __spark_entry__ as entry
 

@@ -581,3 +581,10 @@ def q_synthetic_posts(spark, d):
 def q_pipeline_lifecycle(spark, d):
     """All stages in one plan over the raw tables."""
     return pipeline.run(table(spark, d, "comments"), table(spark, d, "videos"), config={"lifecycle": {"least_appearances": 2}})["lifecycle"]
+
+
+# Stages with the default settings; the smallest tables are too small for a lifecycle with these.
+for _stage in ("posts", "series", "candidates", "weekly_terms"):
+    @query(f"q_stage_{_stage}")
+    def _pipeline_stage(spark, d, stage=_stage):
+        return pipeline.run(table(spark, d, "comments"), table(spark, d, "videos"))[stage]
