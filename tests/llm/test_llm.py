@@ -193,6 +193,38 @@ def test_leak_with_scattered_changes():
     assert index.leaked("so it was said that " + " ".join(copy)) == [(1, 41 / 90)]
 
 
+def test_each_item_is_found_alone():
+    items = read("eval_items")
+    for i, p in zip(items.item_id, items.passage):
+        found = leakage.ItemIndex([(i, p)]).leaked(f"and then we read {p} and that was it")
+        assert [x for x, _ in found] == [i] and found[0][1] == 1
+
+
+def test_disjoint_items():
+    a = "copper kettles rust slowly beside open windows during wet autumn evenings near rivers"
+    b = "seventeen pilgrims crossed frozen marshland carrying lanterns toward distant mountain chapels before dawn"
+    assert leakage.ItemIndex([(1, a), (2, b)]).leaked(f"{b} {a}") == [(2, 1.0), (1, 1.0)]
+    assert leakage.ItemIndex([(1, a)]).leaked("СОРРЕR kettlеs rust slowly bеside oреn windоws during wet autumn") == [(1, 10 / 13)]
+
+
+def test_refilled_questions_are_told_apart():
+    item = "the order for 650 bottles of juchedmo was stacked in the hall and 41 jars marked taquo stood by the gate for 9 days"
+    other = "the order for 222 bottles of belcuop was stacked in the hall and 77 jars marked rimi stood by the gate for 3 days"
+    slip = "the order for 650 bottles of juchedno was stacked in teh hall and 41 jars marked taquo stood by the gate for 9 days"
+    index = leakage.ItemIndex([(1, item), (2, other)])
+    assert [i for i, _ in index.leaked(item)] == [1] and [i for i, _ in index.leaked(other)] == [2] and [i for i, _ in index.leaked(slip)] == [1]
+    assert [i for i, _ in leakage.ItemIndex([(1, item)]).leaked(other)] == []
+    assert leakage.slipped("kypel", "kypl") and leakage.slipped("kypel", "kyepl") and not leakage.slipped("kypel", "kylep") and not leakage.slipped("abc", "abd")
+
+
+def test_item_blocks_change_nothing(spark, monkeypatch):
+    docs, items = spark.createDataFrame(read("documents")[["doc_id", "text"]].dropna()), spark.createDataFrame(read("eval_items"))
+    found = lambda: sorted(map(tuple, leakage.find_leaks(docs, items).collect()))
+    one = found()
+    monkeypatch.setattr(leakage, "BLOCK", 40)
+    assert found() == one and one
+
+
 def test_leaks_against_brute_force(spark):
     docs, items = read("documents").dropna(subset=["text"]), read("eval_items")
     got = {(r.doc_id, r.item_id) for r in Q["p6_found"](spark, DATA).collect()}

@@ -6,11 +6,15 @@ stretches. Slot consistency then tells a copy from a question re-parameterised:
 stretch differ from the passage's, the words are of another text. An item leaked into a document if the words of
 its consistent stretches make up at least ``SHARE`` of the passage.
 
-A name is a word that fewer than two items hold. A stretch counts if its slots agree (no more than one in three
-differs) and it has an agreeing slot, or if it has no differing slot and at least ``PLAIN`` equal words.
+A name is a word that fewer than two different passages of the whole list hold; the list is counted once, before it is
+cut into blocks, so results don't depend on ``BLOCK``. Windows of a passage's very words are indexed beside the template
+windows, so a verbatim passage is found whatever the other items hold. A stretch counts if its slots agree (no more
+than one in three differs, and of the numbers alone no more than half; a name with a slip of the pen is no other name)
+and it has an agreeing slot, or if it has no differing slot and at least ``PLAIN`` equal words.
 
 Scale: the documents pass once, without a shuffle; the item index is a broadcast of blocks of at most ``BLOCK``
-items, so it doesn't grow with the corpus. A document's windows never leave its task.
+items, so it doesn't grow with the corpus. Beside it go the words that two passages hold, which grow with the list's
+vocabulary. A document's windows never leave its task.
 
 Defined results: case, accents, punctuation, spacing, line breaks and look-alike characters don't count; null or
 blank passages and texts match nothing; passages of fewer than ``WINDOW`` words match nothing; an item repeated
@@ -21,10 +25,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +40,8 @@ WINDOW, SHARE, PLAIN = 4, 0.4, 9
 #: Words between windows of a run; words put in or taken out between runs; words from run to run.
 GAP, DRIFT, REACH = 3, 4, 12
 NUMBER, NAME, UNIT = 1, 2, 3
+#: Salt by which verbatim windows differ from template windows.
+VERBATIM = 0x51ED
 # Units of measure and of time in the languages of the items.
 UNITS = frozenset(
     "grams gram kg kilograms litres liters ml millilitres metres meters minutes hours days weeks months years percent "
@@ -47,8 +54,8 @@ _WORDS = re.compile(r"[^\W_]+")
 class _Fold(dict):
     def __missing__(self, code: int) -> str:
         ch = chr(code)
-        flat = " " if ch.isspace() else skeleton(ch).lower()
-        found = self[code] = "".join(x for x in flat if not "̀" <= x <= "ͯ")
+        flat = " " if ch.isspace() else skeleton(ch.lower()).lower()
+        found = self[code] = "".join(x for x in flat if not "\u0300" <= x <= "\u036f")
         return found
 
 
@@ -62,39 +69,55 @@ def words_of(text: str | None) -> list[str]:
     return _WORDS.findall(text.lower() if text.isascii() else text.translate(_FOLD))
 
 
+def template_words(passages: Iterable[str]) -> list[str]:
+    """The words, numbers and units aside, that at least two different passages hold."""
+    seen: set[int] = set()
+    held: Counter[str] = Counter()
+    for passage in passages:
+        words = words_of(passage)
+        mark = xxhash.xxh3_64_intdigest(" ".join(words))
+        if mark not in seen:
+            seen.add(mark)
+            held.update(set(words))
+    return sorted(w for w, n in held.items() if n >= 2 and not w.isdigit() and w not in UNITS)
+
+
 class ItemIndex:
-    """Template windows of a block of items."""
+    """Template windows and verbatim windows of a block of items; ``common`` are the template words of the whole list."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], common: list[str] | None = None) -> None:
         self.words = {i: words_of(p) for i, p in items}
-        held = Counter(w for ws in self.words.values() for w in set(ws))
-        common = sorted(w for w, n in held.items() if n >= 2 and not w.isdigit() and w not in UNITS)
+        common = template_words(p for _, p in items) if common is None else common
         self.code = {w: k + 4 for k, w in enumerate(common)} | {u: UNIT for u in UNITS}
+        # A word's id tells its very form, ``self.types`` what the template has in its place.
+        every = sorted({w for ws in self.words.values() for w in ws} | set(self.code))
+        self.ids = {w: k + 3 for k, w in enumerate(every)}
+        self.types = np.array([NAME, NUMBER, 0, *(self.code.get(w) or (NUMBER if w.isdigit() else NAME) for w in every)], np.uint64)
         at: dict[int, list[tuple[int, int]]] = {}
         for i, ws in self.words.items():
-            codes = self.template(ws)
-            for k, h in enumerate(self.hashes(codes).tolist()):
-                if self._telling(codes[k : k + WINDOW]):
-                    at.setdefault(h, []).append((i, k))
+            ids = self.placed(ws)
+            types = self.types[ids]
+            telling = np.convolve(types > UNIT, np.ones(WINDOW, int), "valid") >= 2 if len(types) >= WINDOW else ()
+            for k in np.flatnonzero(telling).tolist():
+                at.setdefault(int(self.hashes(types[k : k + WINDOW])[0]), []).append((i, k))
+            for k, h in enumerate(self.hashes(ids.astype(np.uint64), VERBATIM).tolist()):
+                at.setdefault(h, []).append((i, k))
         self.keys = np.array(sorted(at), np.uint64)
         self.posts = [at[k] for k in self.keys.tolist()]
 
-    @staticmethod
-    def _telling(codes: np.ndarray) -> bool:
-        return int((codes > UNIT).sum()) >= 2
-
-    def template(self, words: list[str]) -> np.ndarray:
-        get = self.code.get
-        return np.array([get(w) or (NUMBER if w.isdigit() else NAME) for w in words], np.uint64)
+    def placed(self, words: list[str]) -> np.ndarray:
+        """The id of each word: 0 for one of no item, 1 for such a number."""
+        get = self.ids.get
+        return np.array([get(w) or int(w.isdigit()) for w in words], np.int64)
 
     @staticmethod
-    def hashes(codes: np.ndarray) -> np.ndarray:
+    def hashes(codes: np.ndarray, salt: int = 0x9E37) -> np.ndarray:
         n = len(codes) - WINDOW + 1
         if n <= 0:
             return np.empty(0, np.uint64)
         h = np.zeros(n, np.uint64)
         for k in range(WINDOW):
-            h = (h ^ (codes[k : k + n] + np.uint64(0x9E37))) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (codes[k : k + n] + np.uint64(salt))) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(31)
         return h
 
@@ -103,15 +126,13 @@ class ItemIndex:
         words = words_of(text)
         if len(words) < WINDOW or not len(self.keys):
             return []
-        found = self.hashes(self.template(words))
-        slot = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
-        hits = np.flatnonzero(self.keys[slot] == found)
-        if not len(hits):
-            return []
+        ids = self.placed(words)
         seeds: dict[int, dict[int, list[int]]] = {}
-        for at in hits.tolist():
-            for item, k in self.posts[slot[at]]:
-                seeds.setdefault(item, {}).setdefault(at - k, []).append(k)
+        for found in (self.hashes(self.types[ids]), self.hashes(ids.astype(np.uint64), VERBATIM)):
+            slot = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+            for at in np.flatnonzero(self.keys[slot] == found).tolist():
+                for item, k in self.posts[slot[at]]:
+                    seeds.setdefault(item, {}).setdefault(at - k, []).append(k)
         out = []
         for item, diagonals in seeds.items():
             passage = self.words[item]
@@ -136,7 +157,13 @@ class ItemIndex:
                 a -= 1
             while b < len(passage) and b + shift < len(words) and passage[b] == words[b + shift]:
                 b += 1
-            out.append((a + shift, a, b))
+            # A slot at an end may hold anything: a stretch begins and ends with a word of the passage.
+            while a < b and passage[a] != words[a + shift]:
+                a += 1
+            while a < b and passage[b - 1] != words[b - 1 + shift]:
+                b -= 1
+            if a < b:
+                out.append((a + shift, a, b))
         return out
 
     def _slot(self, word: str) -> int:
@@ -159,19 +186,31 @@ class ItemIndex:
                 chains.append([run])
         kept: set[int] = set()
         for chain in chains:
-            equal, same, other = set(), 0, 0
+            equal, slots = set(), {NUMBER: {}, NAME: {}}
             for at, a, b in chain:
                 for k in range(a, b):
                     mine, theirs = passage[k], words[k + at - a]
+                    kind = self._slot(mine)
                     if mine == theirs:
                         equal.add(k)
-                    if self._slot(mine) and (mine == theirs or self._slot(theirs) == self._slot(mine)):
-                        same, other = same + (mine == theirs), other + (mine != theirs)
-            if same and other <= same / 2 or not other and len(equal) >= PLAIN:
+                    if kind and (mine == theirs or self._slot(theirs) == kind and not (kind == NAME and slipped(mine, theirs))):
+                        slots[kind][k] = slots[kind].get(k, False) or mine == theirs
+            numbers, names = slots[NUMBER].values(), slots[NAME].values()
+            same, other = sum(numbers) + sum(names), len(numbers) + len(names) - sum(numbers) - sum(names)
+            if same and other <= same / 2 and 2 * sum(numbers) >= len(numbers) or not other and len(equal) >= PLAIN:
                 kept |= equal
         return kept
 
 
+def slipped(a: str, b: str) -> bool:
+    """Whether one letter more, less or other, or two neighbours that changed places, make one name of the other."""
+    if min(len(a), len(b)) < 4 or abs(len(a) - len(b)) > 1:
+        return False
+    k = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    x, y = a[k:], b[k:]
+    return x[1:] == y or x == y[1:] or x[1:] == y[1:] or x[:2] == y[1::-1] and x[2:] == y[2:]
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
                passage_col: str = "passage") -> DataFrame:
     """(doc_id, item_id, share) for every document and every item that leaked into it."""
@@ -181,10 +220,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_c
     kinds = texts.schema["doc_id"].dataType.simpleString(), listed.schema["i"].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, share double"
     blocks = -(-listed.count() // BLOCK)
+    common = template_words(r.p for r in listed.select("p").distinct().toLocalIterator())
     found = None
     for b in range(blocks):
         part = listed.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).orderBy("i", "p").collect()
-        index = spark.sparkContext.broadcast(ItemIndex([(r.i, r.p) for r in part]))
+        index = spark.sparkContext.broadcast(ItemIndex([(r.i, r.p) for r in part], common))
 
         def look(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for pdf in batches:
