@@ -187,7 +187,9 @@ class ItemIndex:
         kept: set[int] = set()
         for chain in chains:
             equal, slots = set(), {NUMBER: {}, NAME: {}}
-            for at, a, b in chain:
+            # Slots between two stretches of one diagonal are judged too.
+            between = [(x + b - a, b, c) for (x, a, b), (y, c, _) in zip(chain, chain[1:]) if x - a == y - c]
+            for at, a, b in [*chain, *between]:
                 for k in range(a, b):
                     mine, theirs = passage[k], words[k + at - a]
                     kind = self._slot(mine)
