@@ -6,6 +6,10 @@ whatever the data). Rows of these terms never leave their task: each task adds t
 exact counter for each heavy term and emits the array's used slots. Only the rows of the remaining terms are
 shuffled by term. The two count tables are then united; which terms are heavy changes no figure.
 
+Before that, all rows are shuffled once by record id, since records are delivered again; what is left, a term and a count
+for each record, is written to the checkpoint folder and read by each later step instead of being derived again. The counts
+themselves are written too, as the marks need their sum first.
+
 Defined results: rows with the same record id count once, the one with the latest load (null load times come
 first; of equal times the larger count); a record whose term is null or blank is left out everywhere; counts
 that are null or negative add 0; rows with a null id are records of their own; an empty table gives no rows.
@@ -21,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 #: A term is heavy if it may hold at least this share of the rows; at most 1 / HEAVY_SHARE terms are.
 HEAVY_SHARE = 0.002
 COMMON_SHARE, RARE_RECORDS, RARE_TOTAL = 0.005, 3, 5
@@ -50,8 +56,8 @@ def heavy_terms(rows: DataFrame, term_col: str, share: float = HEAVY_SHARE) -> l
 def term_frequencies(rows: DataFrame, id_col: str, term_col: str, count_col: str, loaded_col: str, share: float = HEAVY_SHARE) -> DataFrame:
     """(term, records, total) for every distinct term."""
     spark = rows.sparkSession
-    held = records(rows, id_col, term_col, count_col, loaded_col)
-    heavy = heavy_terms(rows, term_col, share)
+    held = cut(records(rows, id_col, term_col, count_col, loaded_col))
+    heavy = heavy_terms(held, "term", share)
     light = held
     counted = None
     if heavy:
@@ -81,6 +87,7 @@ def term_frequencies(rows: DataFrame, id_col: str, term_col: str, count_col: str
 
 def marked(counts: DataFrame, common_share: float = COMMON_SHARE, rare_records: int = RARE_RECORDS, rare_total: int = RARE_TOTAL) -> DataFrame:
     """``counts`` with mark 'common', 'rare' or null."""
+    counts = cut(counts)
     n = counts.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n")).scalar()
     mark = F.when(F.col("records") > F.lit(common_share) * n, "common").when(
         (F.col("records") < rare_records) | (F.col("total") < rare_total), "rare"
