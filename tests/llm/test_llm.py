@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,38 @@ def test_skeleton():
     assert glyphs.by_table("привeт") == "привет" and glyphs.by_table("рaypal") == "paypal"
 
 
+def test_capitals():
+    assert glyphs.skeleton("СОРРЕR Ѕhор") == glyphs.skeleton("COPPER Shop") and glyphs.by_table("ДOМ") == "ДОМ"
+    assert lookalike.settle(["MOCKBA", "И", "ДОМ"]) == "МОСКВА И ДОМ"
+
+
+def test_linear_tests(spark):
+    """One word of a million letters, in one script and in two."""
+    began = time.perf_counter()
+    words = ["a" * 1_000_000, "b" * 999_999 + "ж", "aж" * 500_000]
+    df = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k long, t string")
+    assert [r.s for r in df.select("k", lookalike._stable(F.col("t")).alias("s")).orderBy("k").collect()] == [True, False, False]
+    assert time.perf_counter() - began < 20
+
+
+def test_classes(spark):
+    texts = ["so good", "ѕо good", "so good", "sо gооd", "so bad", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "post_id long, cleaned_text string")
+    got = {r.id: r.links for r in lookalike.lookalike_classes(lookalike.canonical_texts(df)).collect()}
+    assert got == {0: 2, 1: 3, 2: 2, 3: 3}
+    # A spelling that repeats without end: each row's links and the pairs tell the same.
+    many = spark.range(600).select(F.col("id").alias("post_id"), F.when(F.col("id") % 3 == 0, "glоw").otherwise("glow").alias("cleaned_text"))
+    canon = lookalike.canonical_texts(many)
+    assert lookalike.lookalike_pairs(canon).count() == 200 * 400
+    assert lookalike.lookalike_classes(canon).groupBy("links").count().orderBy("links").collect() == [(200, 400), (400, 200)]
+
+
+def test_plain_keys(spark):
+    words = sorted({w for t in read("processed_posts").cleaned_text.dropna() for w in t.split()})
+    df = spark.createDataFrame([(w,) for w in words], "word string").filter(lookalike._plain(F.col("word")))
+    assert df.count() > 500 and df.filter(lookalike._plain_key(F.col("word")) != lookalike._key("word")).count() == 0
+
+
 def test_trie():
     trie = lookalike.Trie()
     for w, n in (("serum", 5), ("café", 2), ("serom", 1)):

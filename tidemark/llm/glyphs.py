@@ -9,18 +9,23 @@ from __future__ import annotations
 import re
 import unicodedata
 
-# Lower-case letters of other scripts that a reader takes for a Latin letter.
+# Letters of other scripts that a reader takes for a Latin letter, small ones first.
 LOOKALIKES = {
     "а": "a", "ɑ": "a", "α": "a", "ԁ": "d", "е": "e", "ҽ": "e", "ɡ": "g", "һ": "h", "հ": "h", "і": "i", "ι": "i",
     "ı": "i", "ј": "j", "ϳ": "j", "ӏ": "l", "ո": "n", "о": "o", "ο": "o", "օ": "o", "р": "p", "ρ": "p", "ԛ": "q",
     "ѕ": "s", "с": "c", "ϲ": "c", "ս": "u", "υ": "u", "ν": "v", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "γ": "y",
     "ʏ": "y", "ᴢ": "z",
+    "А": "A", "Α": "A", "В": "B", "Β": "B", "С": "C", "Ϲ": "C", "Е": "E", "Ε": "E", "Н": "H", "Η": "H", "І": "I", "Ι": "I",
+    "Ј": "J", "К": "K", "Κ": "K", "М": "M", "Μ": "M", "Ν": "N", "О": "O", "Ο": "O", "Р": "P", "Ρ": "P", "Ѕ": "S", "Т": "T",
+    "Τ": "T", "Х": "X", "Χ": "X", "Υ": "Y", "Ζ": "Z",
 }
 # The Cyrillic letter for each Latin one, to write a Cyrillic word again.
-CYRILLIC = {"a": "а", "e": "е", "o": "о", "p": "р", "c": "с", "y": "у", "x": "х", "i": "і", "s": "ѕ", "j": "ј"}
+CYRILLIC = {"a": "а", "e": "е", "o": "о", "p": "р", "c": "с", "y": "у", "x": "х", "i": "і", "s": "ѕ", "j": "ј",
+            "A": "А", "B": "В", "C": "С", "E": "Е", "H": "Н", "I": "І", "J": "Ј", "K": "К", "M": "М", "O": "О", "P": "Р", "S": "Ѕ", "T": "Т",
+            "X": "Х"}
 
 SPACES = re.compile(r"[\s   -     　]+")
-ONLY_CYRILLIC = re.compile("[бвгджзийклмнптфцчшщъыьэюя]")
+ONLY_CYRILLIC = re.compile("[бвгджзийклмнптфцчшщъыьэюяБГДЖЗИЙЛПУФЦЧШЩЪЫЬЭЮЯ]")
 
 
 def ignorable(ch: str) -> bool:

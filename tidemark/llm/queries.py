@@ -8,6 +8,7 @@ QUERIES = {
     "p1_found": subjects.p1_found,
     "p1_composition": subjects.p1_composition,
     "p2_found": lookalike.p2_found,
+    "p2_classes": lookalike.p2_classes,
     "p2_canonical": lookalike.p2_canonical,
     "p3_found": language.p3_found,
     "p3_segments": language.p3_segments,
