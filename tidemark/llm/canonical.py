@@ -2,12 +2,14 @@
 
 Method: the distinct values are normalised; a character n-gram inverted index of the reference list gives
 their candidates; candidates are scored by weighted cosine; the best is accepted above a threshold and a
-margin to the next entry, after an exact look at its rare part.
+margin to the next entry. An exact check follows: the value must hold the accepted entry's rare part, give or take a
+slip; it can only refuse, never choose another entry.
 
 Forms of an entry: its words in each rotation (people write the type first), with and without the words
 that many brands share ("house words"). Two spellings of a value are tried, as typed and by sound, and the
 better counts. An n-gram weighs by how few reference entries hold it, so that the brand decides and the
-product type tells the brand's entries apart; n-grams no entry holds weigh most and count against a match.
+product type tells the brand's entries apart; n-grams no entry holds weigh most and count against a match. N-grams
+of both ends are marked.
 
 Scale: work is per distinct value. The index lives in broadcast blocks of at most ``BLOCK`` entries; a longer
 reference list takes several blocks whose best candidates are merged, so that no broadcast grows with the data. What
@@ -34,13 +36,13 @@ from pyspark.sql import functions as F
 #: Reference entries in one broadcast index.
 BLOCK = 20_000
 TASKS_PER_CORE = 4
-#: Least cosine of a candidate, least final score and least distance of it to that of the next entry. The final score
-#: is 0.6 cosine + 0.4 likeness of the whole strings.
-CANDIDATE, ACCEPT, MARGIN = 0.27, 0.42, 0.01
+#: Least cosine of an accepted entry and least distance of it to that of the next entry.
+ACCEPT, MARGIN = 0.3, 0.01
 #: A word is a house word if at least so many brands hold it.
 HOUSE_BRANDS = 3
-# Words people put around a name.
-FILLER = frozenset("new mini the my by tm 50ml ml of a an".split())
+# Words people put around a name; sizes ("50ml") are left out as well.
+FILLER = frozenset("new mini the my by tm of a an".split())
+SIZE = re.compile(r"\d*(?:ml|cl|oz|kg)|\d+[gl]")
 # Spelling by sound, applied in this order.
 SOUND = (("ph", "f"), ("kh", "k"), ("ch", "k"), ("ck", "k"), ("x", "ks"), ("c", "k"), ("q", "k"), ("y", "i"), ("z", "s"), ("w", "v"))
 
@@ -50,7 +52,8 @@ def flat(text: str) -> list[str]:
     text = "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch))
     if not text.isupper():
         text = re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", text)
-    return [w for w in re.findall(r"[^\W_]+", text.lower()) if w not in FILLER]
+    text = re.sub(r"(?<=[^\W\d_])(?=\d+(?:ml|cl|oz|kg|g|l)\b)", " ", text.lower())
+    return [w for w in re.findall(r"[^\W_]+", text) if w not in FILLER and not SIZE.fullmatch(w)]
 
 
 def by_sound(word: str) -> str:
@@ -60,6 +63,8 @@ def by_sound(word: str) -> str:
 
 
 def grams(word: str) -> list[str]:
+    """Pairs and triples of letters of a whole value, its ends marked."""
+    word = f"^{word}$" if word else ""
     return [word[i : i + n] for n in (2, 3) for i in range(len(word) - n + 1)]
 
 
@@ -117,17 +122,6 @@ def _last(name: str, text: str) -> tuple[int, int]:
     return min(row), len(row) - 1 - row[::-1].index(min(row))
 
 
-def alike(a: str, b: str) -> float:
-    """1 less the edits between the whole strings for each letter of the longer."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            now.append(min(row[j] + 1, now[j - 1] + 1, row[j - 1] + (x != y)))
-        row = now
-    return 1 - row[-1] / max(len(a), len(b), 1)
-
-
 class Listed:
     """What an index needs to know of the whole reference list, however many blocks it takes.
 
@@ -206,28 +200,23 @@ class Index:
                 got[rows] += x * values
         return got / math.sqrt(total) if total else got
 
-    def best(self, value: str) -> list[tuple[float, int]]:
-        """(score, id) of the two best entries whose rare part the value holds; the second only where the margin may be too small."""
+    def best(self, value: str) -> list[tuple[float, int, bool]]:
+        """(cosine, id, whether the value holds the entry's rare part) of the two best entries of this block."""
         words = flat(value)
         squeezed = "".join(words)
         if not squeezed or not self.ids:
             return []
-        heard = [by_sound(w) for w in words]
-        sound = by_sound(squeezed)
-        got = np.maximum(self.scores(squeezed), self.scores(sound))
-        out: dict[int, float] = {}
-        looked: dict[str, bool] = {}
-        for k in np.argsort(-got, kind="stable"):
-            # No later form can come within the margin of the best.
-            if got[k] < CANDIDATE or out and 0.6 * float(got[k]) + 0.4 < max(out.values()) - MARGIN:
-                break
-            core = self.cores[k]
-            if core not in looked:
-                looked[core] = names(core, words, self.known) or names(by_sound(core), heard, self.known)
-            if looked[core]:
-                exact = max(alike(squeezed, self.forms[k]), alike(sound, self.forms[k]))
-                out[self.ids[k]] = max(out.get(self.ids[k], 0.0), 0.6 * float(got[k]) + 0.4 * exact)
-        return sorted(((score, i) for i, score in out.items() if score >= ACCEPT), key=lambda x: (-x[0], x[1]))[:2]
+        got = np.maximum(self.scores(squeezed), self.scores(by_sound(squeezed)))
+        found: dict[int, tuple[float, int]] = {}
+        for k in np.flatnonzero(got >= ACCEPT - MARGIN).tolist():
+            i, score = self.ids[k], float(got[k])
+            if i not in found or score > found[i][0]:
+                found[i] = score, k
+        first = sorted(found.items(), key=lambda x: (-x[1][0], x[0]))[:2]
+        return [(score, i, self._named(self.cores[k], words)) for i, (score, k) in first]
+
+    def _named(self, core: str, words: list[str]) -> bool:
+        return names(core, words, self.known) or names(by_sound(core), [by_sound(w) for w in words], self.known)
 
 
 def map_values(values: DataFrame, reference: DataFrame, value_col: str, id_col: str, name_col: str, kind_col: str) -> DataFrame:
@@ -248,18 +237,18 @@ def map_values(values: DataFrame, reference: DataFrame, value_col: str, id_col:
 
         def look(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                rows = [(v, i, s) for v in pdf["value"] for s, i in index.value.best(v)]
-                yield pd.DataFrame(rows, columns=["value", "canon_id", "score"])
+                rows = [(v, i, s, n) for v in pdf["value"] for s, i, n in index.value.best(v)]
+                yield pd.DataFrame(rows, columns=["value", "canon_id", "score", "named"])
 
-        each = distinct.mapInPandas(look, "value string, canon_id long, score double")
+        each = distinct.mapInPandas(look, "value string, canon_id long, score double, named boolean")
         found = each if found is None else found.unionByName(each)
     if found is None:
         return distinct.select("value", F.lit(-1).cast("long").alias("canon_id"), F.lit(0.0).alias("score"))
     ranked = found.groupBy("value").agg(
-        F.max(F.struct("score", (-F.col("canon_id")).alias("minus"))).alias("first"), F.sort_array(F.collect_list("score"), False).alias("all")
+        F.max(F.struct("score", (-F.col("canon_id")).alias("minus"), "named")).alias("first"), F.sort_array(F.collect_list("score"), False).alias("all")
     )
     clear = (F.size("all") < 2) | (F.element_at("all", 1) - F.try_element_at("all", F.lit(2)) >= MARGIN)
-    taken = ranked.select("value", F.when(clear, -F.col("first.minus")).otherwise(-1).alias("canon_id"), F.col("first.score").alias("score"))
+    taken = ranked.select("value", F.when(clear & (F.col("first.score") >= ACCEPT) & F.col("first.named"), -F.col("first.minus")).otherwise(-1).alias("canon_id"), F.col("first.score").alias("score"))
     return distinct.join(taken, "value", "left").select("value", F.coalesce("canon_id", F.lit(-1)).cast("long").alias("canon_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
