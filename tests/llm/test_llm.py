@@ -139,6 +139,28 @@ def test_segments(spark):
     assert language.language_segments(df, samples.limit(0), "k", "t", "l", 5).count() == 0
 
 
+def test_words_aside_from_hashtags(spark):
+    samples = spark.createDataFrame(read("language_samples"))
+    texts = [(1, "xx", "this is four words #tag #more", 5), (2, "xx", "this is four words #tag", 4), (3, "xx", "now here are five words #tag", 5)]
+    df = spark.createDataFrame(texts, "k long, l string, t string, n int")
+    assert {r.record_id for r in language.language_segments(df, samples, "k", "t", "l", F.col("n")).collect()} == {2, 3}
+
+
+def test_stretches_cover_the_text():
+    net = language.train([(c, s) for c, s in zip(read("language_samples")["lang"], read("language_samples")["sample"])], windows=4_000)
+    text = "i keep coming back to the night serum " + "мне понравилось видео про шерстяное пальто " + "je ne pensais pas que la robe serait aussi utile ok no"
+    for got in net.stretches([text, text[:60], "ok да si", text * 5]):
+        assert got[0][2] == 0 and all(a[3] == b[2] and a[0] != b[0] for a, b in zip(got, got[1:]))
+    assert net.stretches([text])[0][-1][3] == len(text.encode())
+
+
+def test_training_repeats():
+    pairs = list(zip(read("language_samples")["lang"], read("language_samples")["sample"]))
+    a, b = (language.train(p, windows=1_000) for p in (pairs, list(pairs)))
+    assert all((x == y).all() for x, y in zip([*a.conv, a.out], [*b.conv, b.out])) and np.allclose(a.out, np.round(a.out, language.PLACES), atol=1e-7)
+    assert language.network(pairs[:20], []) is language.network(list(pairs[:20]), [])
+
+
 # Frequencies
 
 def test_heavy_changes_nothing(spark):

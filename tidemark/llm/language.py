@@ -2,9 +2,13 @@
 
 Method: a byte convolutional network in numpy. Bytes are embedded; filters of several widths slide over
 them; each feature takes its maximum over a fixed-length window; a softmax layer gives the languages. It is
-trained on labelled samples (bounded by ``MOST_SAMPLES``) and applied to batches of windows of ``BLOCKS``
-blocks of ``STRIDE`` bytes, one window for each block. A text's blocks are then cut into stretches by the
-cheapest path through the languages, a change of language costing ``SWITCH``.
+trained on labelled samples (at most ``MOST_SAMPLES``) and labelled texts (at most ``MOST_LABELLED``), both chosen by a hash,
+and applied to batches of windows of ``BLOCKS`` blocks of ``STRIDE`` bytes, one window for each block. A text's blocks are
+then cut into stretches by the cheapest path through the languages, a change of language costing ``SWITCH``. Labels of
+texts may be wrong or stand on mixed texts: wrong ones scatter over the languages and don't decide against the right ones.
+
+Training sums in double precision and rounds the weights after each step, so that machines whose arithmetic differs in
+the last digits train the same network. A driver keeps the last networks by the hash of what they were trained on.
 
 Scale: one pass without a shuffle; the network (some 100 KB) is the only broadcast. Texts are read whole.
 
@@ -21,25 +25,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.glyphs import by_table
 from tidemark.llm.sampling import fixed_sample
 
-#: Most labelled samples used in training, first by id.
-MOST_SAMPLES = 20_000
-#: Most labelled texts in the second training, and the confidence from which the first network overrules a label.
-MOST_LABELLED, SURE = 6_000, 0.75
+#: Most labelled samples and most labelled texts used in training, those with the lowest hashes of each language or of all.
+MOST_SAMPLES, MOST_LABELLED = 20_000, 12_000
 STRIDE, BLOCKS = 8, 5
 WIDTHS, FILTERS, EMBEDDED = (3, 4, 5), 40, 8
-EPOCHS, BATCH, RATE, SEED = 12, 128, 0.006, 5
-#: Windows in a training, the same for any number of texts.
-MOST_WINDOWS = 10_000
-#: Cost of a change of language along a text, in log probability, and the least bytes of a stretch.
-SWITCH, LEAST_BYTES = 3.5, 20
+EPOCHS, BATCH, RATE, SEED = 4, 128, 0.006, 5
+#: Windows in the first and in the second training, the same for any number of texts, and places to which weights are rounded.
+FIRST_WINDOWS, MOST_WINDOWS, PLACES = 4_000, 60_000, 6
+#: Networks that a driver keeps.
+KEPT = 4
+#: Cost of a change of language along a text, in log probability, and the least letters of a stretch of its own.
+SWITCH, LEAST_LETTERS = 4.0, 20
 #: A label's language stands if its mean probability is at least this part of the highest.
-LABEL_WORTH = 0.3
+LABEL_WORTH = 0.5
 #: Bytes that go through the network at once.
 CHUNK_BYTES = 1 << 17
 
@@ -111,7 +116,10 @@ class ByteNet:
         """``x``: windows of bytes, ``y``: their languages. Adam on the cross-entropy; the embedding stays as drawn."""
         rng = np.random.default_rng(seed)
         size = x.shape[1]
-        params = [*self.conv, *self.bias, self.out, self.out_bias]
+        emb_table = self.emb.astype(np.float64)
+        conv, bias = [c.astype(np.float64) for c in self.conv], [b.astype(np.float64) for b in self.bias]
+        out, out_bias = self.out.astype(np.float64), self.out_bias.astype(np.float64)
+        params = [*conv, *bias, out, out_bias]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         step = 0
         for epoch in range(epochs):
@@ -119,9 +127,9 @@ class ByteNet:
             for at in range(0, len(order), BATCH):
                 xb, yb = x[order[at : at + BATCH]], y[order[at : at + BATCH]]
                 n = len(xb)
-                emb = np.concatenate([self.emb[xb], np.zeros((n, max(WIDTHS), EMBEDDED), np.float32)], axis=1)
+                emb = np.concatenate([emb_table[xb], np.zeros((n, max(WIDTHS), EMBEDDED))], axis=1)
                 cols, peaks, values = [], [], []
-                for w, c, b in zip(WIDTHS, self.conv, self.bias):
+                for w, c, b in zip(WIDTHS, conv, bias):
                     col = np.concatenate([emb[:, k : k + size] for k in range(w)], axis=2)
                     got = (col.reshape(n * size, -1) @ c + b).reshape(n, size, FILTERS)
                     peak = got.argmax(1)
@@ -129,14 +137,14 @@ class ByteNet:
                     peaks.append(peak)
                     values.append(np.take_along_axis(got, peak[:, None, :], 1)[:, 0])
                 pooled = np.concatenate(values, axis=1)
-                kept = (rng.random(pooled.shape) > 0.3).astype(np.float32) / np.float32(0.7)
+                kept = (rng.random(pooled.shape) > 0.3) / 0.7
                 hidden = np.maximum(pooled, 0) * kept
-                z = hidden @ self.out + self.out_bias
+                z = hidden @ out + out_bias
                 z = np.exp(z - z.max(1, keepdims=True))
                 dz = z / z.sum(1, keepdims=True)
                 dz[np.arange(n), yb] -= 1
                 dz /= n
-                dh = (dz @ self.out.T) * kept * (pooled > 0)
+                dh = (dz @ out.T) * kept * (pooled > 0)
                 rows = np.arange(n)[:, None]
                 convs, biases = [], []
                 for k in range(len(WIDTHS)):
@@ -149,7 +157,10 @@ class ByteNet:
                 for p, g, m, v in zip(params, [*convs, *biases, hidden.T @ dz, dz.sum(0)], first, second):
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
-                    p -= (rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
+                    p -= rate * m / (np.sqrt(v) + 1e-8)
+                    np.round(p, PLACES, out=p)
+        self.conv, self.bias = [c.astype(np.float32) for c in conv], [b.astype(np.float32) for b in bias]
+        self.out, self.out_bias = out.astype(np.float32), out_bias.astype(np.float32)
         return self
 
     def stretches(self, texts: list[str], labels: list[str | None] | None = None) -> list[list[tuple[str, float, int, int]]]:
@@ -186,7 +197,7 @@ class ByteNet:
                 done.append([])
                 continue
             own = logp[first : first + max(1, n - gap)]  # windows that lie inside the text
-            found = self._path(own, len(b))
+            found = self._path(own, b)
             if len(found) == 1 and label in self.langs and found[0][0] != label:
                 mean = np.exp(own).mean(0)
                 if mean[self.langs.index(label)] >= LABEL_WORTH * mean[self.langs.index(found[0][0])]:
@@ -194,8 +205,8 @@ class ByteNet:
             done.append(found)
         return done
 
-    def _path(self, own: np.ndarray, size: int) -> list[tuple[str, float, int, int]]:
-        top = own.argmax(1)
+    def _path(self, own: np.ndarray, raw: bytes) -> list[tuple[str, float, int, int]]:
+        top, size = own.argmax(1), len(raw)
         if (top == top[0]).all():
             return [(self.langs[top[0]], float(np.exp(own[:, top[0]]).mean()), 0, size)]
         score, back = own[0].copy(), np.zeros(own.shape, np.int32)
@@ -218,27 +229,32 @@ class ByteNet:
         # A window begins at its block but tells of BLOCKS blocks: borders lie half a window later.
         half = (BLOCKS // 2) * STRIDE
         edges = [0, *(r[1] * STRIDE + half for r in runs[1:]), size]
-        parts = [(s, float(np.exp(own[a:b, s]).mean()), x, min(y, size)) for (s, a, b), x, y in zip(runs, edges, edges[1:])]
-        kept: list[tuple[int, float, int, int]] = []
-        for s, conf, x, y in parts:
-            if y - x < LEAST_BYTES * (2 if self.langs[s] == "ru" else 1) and len(parts) > 1:
-                continue
-            if kept and kept[-1][0] == s:
-                kept[-1] = (s, (kept[-1][1] + conf) / 2, kept[-1][2], y)
+        begins = np.cumsum(np.r_[0, (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80])  # characters before each byte
+        # A stretch too short to stand alone goes to the longer of its neighbours, so that no text is left out.
+        parts = [[s, float(np.exp(own[a:b, s]).sum()), b - a, x, min(y, size)] for (s, a, b), x, y in zip(runs, edges, edges[1:])]
+        letters_in = lambda p: int(begins[p[4]] - begins[p[3]])
+        while len(parts) > 1:
+            k = min(range(len(parts)), key=lambda i: letters_in(parts[i]))
+            same = next((i for i in range(len(parts) - 1) if parts[i][0] == parts[i + 1][0]), None)
+            if same is not None:
+                left, right = parts[same : same + 2]
+                parts[same : same + 2] = [[left[0], left[1] + right[1], left[2] + right[2], left[3], right[4]]]
+            elif letters_in(parts[k]) < LEAST_LETTERS:
+                near = max((i for i in (k - 1, k + 1) if 0 <= i < len(parts)), key=lambda i: letters_in(parts[i]))
+                parts[near][3], parts[near][4] = min(parts[near][3], parts[k][3]), max(parts[near][4], parts[k][4])
+                del parts[k]
             else:
-                kept.append((s, conf, x, y))
-        if not kept:
-            kept = [max(parts, key=lambda p: p[3] - p[2])]
-        return [(self.langs[s], conf, x, y) for s, conf, x, y in kept]
+                break
+        return [(self.langs[s], total / n, x, y) for s, total, n, x, y in parts]
 
 
-def train(samples: list[tuple[str, str]], seed: int = SEED) -> ByteNet:
+def train(samples: list[tuple[str, str]], seed: int = SEED, windows: int = MOST_WINDOWS) -> ByteNet:
     """A network from (language, text) pairs: windows of the texts, joined in random order and cut anywhere, so that
     the network learns words and endings rather than whole sentences. Each language gives as many windows."""
     rng = np.random.default_rng(seed)
     langs = sorted({lang for lang, _ in samples})
     size = STRIDE * BLOCKS
-    each = MOST_WINDOWS // max(1, len(langs))
+    each = windows // max(1, len(langs))
     xs, ys = [], []
     for k, lang in enumerate(langs):
         texts = [t for t in (letters(s) for code, s in samples if code == lang) if t]
@@ -261,21 +277,30 @@ def train(samples: list[tuple[str, str]], seed: int = SEED) -> ByteNet:
 
 
 def train_twice(samples: list[tuple[str, str]], labelled: list[tuple[str, str]], seed: int = SEED) -> ByteNet:
-    """Samples are few and clean, labelled texts many and partly wrong. A network of the samples reads the labelled
-    texts; one that it reads otherwise than its label, and with confidence ``SURE``, is left out. The second network
-    is trained on the samples and on what is left."""
-    net = train(samples, seed)
-    known = set(net.langs)
-    labelled = [(code, text) for code, text in labelled if code in known]
-    read = net.stretches([letters(t) for _, t in labelled])
-    kept = [
-        (code, text) for (code, text), got in zip(labelled, read) if len(got) == 1 and (got[0][0] == code or got[0][1] < SURE)
-    ]
-    return train(samples + kept, seed) if kept else net
-
-
-def _segments(net, min_words: int):
-    """Rows (record_id, label, text) to rows (record_id, segment_no, lang, confidence, first_word, last_word, label_right)."""
+    """Samples are few and clean, labelled texts many, some of them mixed. A small network of the samples tells which
+    labelled texts are of one language; the second network is trained on the samples and on these, whatever language
+    the first one takes them for: it knows too few words to overrule labels, most of which are right."""
+    first = train(samples, seed, FIRST_WINDOWS)
+    labelled = [(code, text) for code, text in labelled if code in first.langs]
+    read = first.stretches([letters(t) for _, t in labelled])
+    return train(samples + [x for x, got in zip(labelled, read) if len(got) == 1], seed)
+
+
+_NETS: dict[bytes, ByteNet] = {}
+
+
+def network(samples: list[tuple[str, str]], labelled: list[tuple[str, str]]) -> ByteNet:
+    """``train_twice``, or what it gave for the same texts before."""
+    key = xxhash.xxh3_128_digest(repr((samples, labelled)))
+    if key not in _NETS:
+        while len(_NETS) >= KEPT:
+            del _NETS[next(iter(_NETS))]
+        _NETS[key] = train_twice(samples, labelled)
+    return _NETS[key]
+
+
+def _segments(net):
+    """Rows (record_id, label, text, least) to rows (record_id, segment_no, lang, confidence, first_word, last_word, label_right)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -283,8 +308,8 @@ def _segments(net, min_words: int):
             clean = [letters(t) for t in pdf["text"]]
             words = [sum(not w.startswith("#") for w in by_table(t).split()) if t else 0 for t in pdf["text"]]
             codes = [label_code(x) for x in pdf["label"]]
-            for i, code, text, n, got in zip(pdf["record_id"], codes, clean, words, net.value.stretches(clean, codes)):
-                if n < min_words or not got:
+            for i, code, text, n, least, got in zip(pdf["record_id"], codes, clean, words, pdf["least"], net.value.stretches(clean, codes)):
+                if n < least or not got:
                     continue
                 right = len(got) == 1 and code == got[0][0]
                 raw = text.encode()
@@ -298,26 +323,27 @@ def _segments(net, min_words: int):
 SEGMENTS = "record_id long, segment_no int, lang string, confidence double, first_word int, last_word int, label_right boolean"
 
 
-def language_segments(texts: DataFrame, samples: DataFrame, id_col: str, text_col: str, label_col: str, min_words: int,
+def language_segments(texts: DataFrame, samples: DataFrame, id_col: str, text_col: str, label_col: str, min_words: int | Column,
                       labelled: DataFrame | None = None, labelled_rows: int = 0) -> DataFrame:
-    """The stretches of every text of at least ``min_words`` words, hashtags aside.
+    """The stretches of every text of at least ``min_words`` words, hashtags aside; the number may differ by row.
 
     ``samples`` has lang, sample; ``labelled`` (record_id, label, text) may add up to ``MOST_LABELLED`` texts with labels
     of unknown worth, chosen by a hash of their ids; ``labelled_rows`` is about how many there are."""
     spark = texts.sparkSession
-    rows = texts.select(F.col(id_col).cast("long").alias("record_id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
+    rows = texts.select(F.col(id_col).cast("long").alias("record_id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"),
+                        (min_words if isinstance(min_words, Column) else F.lit(min_words)).alias("least"))
     rows = rows.filter("record_id is not null and text is not null")
     clean = samples.select(F.col("lang"), F.col("sample")).filter("lang is not null and sample is not null")
-    clean = [(r.lang, r["sample"]) for r in clean.orderBy("lang", "sample").limit(MOST_SAMPLES).collect()]
+    clean = sorted((r.lang, r["sample"]) for r in fixed_sample(clean, "sample", MOST_SAMPLES, clean.count()).collect())
     if not clean:
         return spark.createDataFrame([], SEGMENTS)
     more = []
     if labelled is not None:
         some = labelled.select("record_id", "label", "text").filter("label is not null and text is not null")
         some = fixed_sample(some, "record_id", MOST_LABELLED, labelled_rows).collect()
-        more = [(label_code(r.label), r.text) for r in some]
-    net = spark.sparkContext.broadcast(train_twice(clean, more))
-    return rows.mapInPandas(_segments(net, min_words), SEGMENTS)
+        more = [(code, r.text) for r in some if (code := label_code(r.label))]
+    net = spark.sparkContext.broadcast(network(clean, more))
+    return rows.mapInPandas(_segments(net), SEGMENTS)
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -334,15 +360,15 @@ def _sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stretch of every post of five words and every phrase of four."""
     posts, terms, samples = _sources(spark, sf_dir)
-    # One network reads both kinds; a phrase of three words or fewer is left out before.
+    # One network reads both kinds; the count here is of words and hashtags, that of words alone follows.
     both = posts.withColumn("record_kind", F.lit("post")).unionByName(terms.withColumn("record_kind", F.lit("term")))
     rows = both.withColumn("key", F.col("record_id") * 2 + (F.col("record_kind") == "term").cast("long"))
     word_count = F.size(F.split(F.trim(F.regexp_replace("text", r"[\s\p{Z}]+", " ")), " "))
     rows = rows.filter((F.col("record_kind") == "post") & (word_count >= 5) | (F.col("record_kind") == "term") & (word_count >= 4))
     # Counts without a column come from the files' footers.
     about = sum(spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("processed_posts", "term_counts"))
-    found = language_segments(rows, samples, "key", "text", "label", 4, labelled_rows=about, labelled=rows.drop("record_id").withColumnRenamed("key", "record_id"))
-    # Posts whose fifth word is a hashtag fall out here: the network's own count is of plain words.
+    least = F.when(F.col("record_kind") == "post", 5).otherwise(4)
+    found = language_segments(rows, samples, "key", "text", "label", least, labelled_rows=about, labelled=rows.drop("record_id").withColumnRenamed("key", "record_id"))
     kind = F.when(F.pmod("record_id", F.lit(2)) == 1, "term").otherwise("post")
     return found.select(
         kind.alias("record_kind"), F.floor(F.col("record_id") / 2).cast("long").alias("record_id"), "segment_no", "lang", "confidence",
