@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import time
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -366,6 +367,41 @@ def test_kmeans():
     assert found.shape == (6, 6) and (np.abs((found @ centres.T).max(0)) > 0.98).all()
 
 
+def test_window_leaves(monkeypatch):
+    told = np.repeat(np.eye(subjects.CLASSES), 50, 0) * 3 + np.random.default_rng(0).random((50 * subjects.CLASSES, subjects.CLASSES)) * 0.2
+    told = np.vstack([told, np.random.default_rng(1).random((200, subjects.CLASSES)) * 0.3])
+    leaves = subjects.WindowLeaves(told)
+    assert [int(leaves.subject[leaves.nearest(np.eye(subjects.CLASSES)[[k]] * 3)[0]]) for k in range(subjects.CLASSES)] == list(range(subjects.CLASSES))
+    assert leaves.subject[leaves.nearest(np.zeros((1, subjects.CLASSES)))[0]] == subjects.NONE
+    # Without leaves nothing has a subject: rows come from them.
+    monkeypatch.setattr(subjects, "WINDOW_LEAVES", 1)
+    assert (subjects.WindowLeaves(told).subject == subjects.NONE).all() and len(subjects.WindowLeaves(told[:0]).centres) == 0
+
+
+def test_decoys_that_stand_alone_learn_nothing():
+    """Sentences that stand beside one another and mostly beside nothing told don't take up a subject from a few chances."""
+    rng = random.Random(4)
+    serum = ["serum calmed skin nicely", "skin adores this toner", "cleanser saved skin quickly"]
+    decoy = ["old bridge cracked near our town", "the train line was closed again", "our town hall needs new bricks"]
+    filler = "and then we went on to say some more about it all before going home in the rain at night".split()
+    texts = []
+    for k in range(600):
+        pool = serum if k % 5 == 0 else decoy
+        a, b = rng.choice(pool), rng.choice(serum if k % 40 == 1 else pool)
+        texts.append(f"{a} {' '.join(filler)} {b}")
+    examples = [(serum[0], ["skincare"]), (serum[1], ["skincare"]), ("hello everyone", [])]
+    df = Counter(w for t in texts for w in set(t.split()))
+    terms = subjects.Terms(sorted(df), [], df, len(texts))
+    labels = subjects.Labels(terms, examples)
+    weight = labels.start()
+    for _ in range(subjects.ROUNDS):
+        sums, seen = np.zeros((terms.count, subjects.CLASSES + 1)), np.zeros((terms.count, 1))
+        subjects._beside(terms, weight, texts, sums, seen)
+        weight = labels.after(sums, seen)
+    told = lambda w: weight[terms.word[w]].max()
+    assert told("cleanser") > 0 and told("bridge") == told("bricks") == told("train") == 0
+
+
 def test_terms_are_not_capped(spark, monkeypatch):
     monkeypatch.setattr(subjects, "MOST_TERMS", 5, raising=False)
     words = [a + b for a in "bdfghklmnp" for b in ("ora", "eli", "uta")]
