@@ -57,8 +57,24 @@ URL = rf"https?://[^{SPACE}]+|www\.[^{SPACE}]+"
 MENTION = rf"@[{WORD}]+"
 SPECIAL = rf"[^{WORD}{SPACE}#]"
 GAP = rf"[{SPACE}]+"
+# What a cleaned text has a blank for, in two passes: an emoji ends an address or a name as a blank does.
+_EMOJI = EMOJI[1:-2]
+ADDRESS = rf"(?:https?://|www\.)[^{SPACE}{_EMOJI}]+"
+NOISE = rf"@[{WORD}&&[^{_EMOJI}]]*|[[{_EMOJI}][^{WORD}#@]]+"
 HASHTAG = rf"#([{WORD}]+)"
 TERM_NOISE = rf"http[^{SPACE}]+|@[{WORD}]+|#[{WORD}]+"
 TERM_SPECIAL = rf"[^{WORD}{SPACE}]"
 TERM_TOKEN = rf"[{WORD}]{{2,}}"
+AGE_PATTERNS = (
+    r"\b(\d{1,2})\s*(years?\s*old|yo|y\.o\.)\b",
+    r"\bage\s*(\d{1,2})\b",
+    r"\b(gen\s*z|generation\s*z|zoomer)\b",
+    r"\b(millennial|gen\s*y|generation\s*y)\b",
+    r"\b(gen\s*x|generation\s*x)\b",
+    r"\b(boomer|baby\s*boomer)\b",
+    r"\b(teen|teenager|teenage)\b",
+    r"\b(college|university|student)\b",
+    r"\b(young\s*adult|twenty\s*something)\b",
+    r"\b(middle\s*aged|mid\s*life)\b",
+)
 AGES = (r"\b(\d{1,2})\s*(?:years?\s*old|yo|y\.o\.)\b", r"\bage\s*(\d{1,2})\b")

@@ -46,9 +46,11 @@ def strip_emoji(text: Column) -> Column:
 
 
 def clean(text: Column) -> Column:
-    """Lower case without emoji, addresses, mentions and signs; '#' and '_' stay; single blanks."""
+    """Lower case without emoji, addresses, mentions and signs; '#' and '_' stay; single blanks.
+
+    Three passes: addresses, all else that becomes a blank, runs of blanks."""
     out = F.lower(F.coalesce(text, F.lit("")))
-    for pattern in (L.EMOJI, f"(?i){L.URL}", L.MENTION, L.SPECIAL, L.GAP):
+    for pattern in (L.ADDRESS, L.NOISE, "  +"):
         out = F.regexp_replace(out, pattern, " ")
     return F.trim(out)
 

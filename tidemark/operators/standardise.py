@@ -76,7 +76,7 @@ POST = ["dataset_type", "video_id", "timestamp", "text", "engagement_score"]
 
 def posts(*frames: DataFrame) -> DataFrame:
     """The standard columns of comment and video tables, one under another."""
-    known = [s.select(*POST, *[c for c in ("author_id", "channel_id", "is_reply") if c in s.columns]) for s in map(standardise, frames) if s is not None]
+    known = [s.select(*POST, *[c for c in ("author_id", "channel_id", "is_reply", "content_duration", "topic_categories") if c in s.columns]) for s in map(standardise, frames) if s is not None]
     out = known[0]
     for other in known[1:]:
         out = out.unionByName(other, allowMissingColumns=True)
@@ -88,8 +88,13 @@ def processed(standard: DataFrame) -> DataFrame:
 
     The relevance test reads the raw text, the category the cleaned one, so a word in an address alone passes the
     first and not the second."""
-    kept = standard.filter(text.relevant(F.col("text"))).withColumn("cleaned_text", text.clean(F.col("text")))
-    out = kept.withColumns({
-        "hashtags": text.hashtags(F.col("text")), "tokens": text.tokens(F.col("cleaned_text")), "category": classify.category(F.col("cleaned_text")),
-    })
-    return out.filter("category is not null")
+    kept = standard.filter(text.relevant(F.col("text")))
+    out = _once(_once(kept, "cleaned_text", text.clean(F.col("text"))), "category", classify.category(F.col("cleaned_text")))
+    out = out.filter("category is not null")
+    return out.withColumns({"hashtags": text.hashtags(F.col("text")), "tokens": text.tokens(F.col("cleaned_text"))})
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once for each row: filters on it and columns made of it aren't merged with it, as
+    they would be with a plain projection."""
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
