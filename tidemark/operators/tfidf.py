@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import lexicon as L
 from tidemark.functions.text import term_clean
+from tidemark.session import cut
 
 
 def term_scores(docs: DataFrame, part: Sequence[str], doc: str, text: str, least_docs: int = 5, min_df: int = 2, max_df: float = 0.8,
@@ -20,7 +21,8 @@ def term_scores(docs: DataFrame, part: Sequence[str], doc: str, text: str, least
     ``max_terms`` most frequent are kept, ties by term. Rows are scaled to length 1 over the kept terms.
 
     Words are exploded before stop words are taken out and pairs come from ``lead``, so that no array expression is
-    evaluated again for each element. Everything runs for all parts at once, by keys."""
+    evaluated again for each element. Everything runs for all parts at once, by keys. The counts of terms in documents are
+    written once to the checkpoint folder; terms, weights and norms read them there."""
     part = list(part)
     keyed = docs.select(*part, F.col(doc).alias("_doc"), F.col(text).alias("_text")).filter(F.length(F.trim("_text")) > 10)
     sizes = keyed.groupBy(*part).agg(F.count_distinct("_doc").alias("_n")).filter(F.col("_n") >= least_docs)
@@ -30,6 +32,7 @@ def term_scores(docs: DataFrame, part: Sequence[str], doc: str, text: str, least
     pairs = placed.withColumn("_next", F.lead("_word").over(w))
     both = F.when(F.col("_next").isNotNull(), F.array("_word", F.concat_ws(" ", "_word", "_next"))).otherwise(F.array("_word"))
     tf = pairs.select(*part, "_doc", F.explode(both).alias("term")).groupBy(*part, "_doc", "term").agg(F.count("*").alias("_tf"))
+    tf = cut(tf)
     terms = tf.groupBy(*part, "term").agg(F.count("*").alias("df"), F.sum("_tf").alias("_total"))
     terms = terms.join(sizes, part).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("_n")))
     rank = F.row_number().over(Window.partitionBy(*part).orderBy(F.desc("_total"), "term"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import lifecycle, standardise, tfidf, timeseries
+from tidemark.session import cut
 
 DEFAULTS = {
     "series": {"intervals": ["1h", "6h"], "features": ["hashtags", "tokens"]},
@@ -44,7 +45,8 @@ def weekly_posts(processed: DataFrame, config: Mapping | None = None) -> DataFra
     """The posts of each category with enough posts, with their window_start."""
     least = merged(config)["terms"]["least_posts"]
     enough = processed.groupBy("category").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select("category")
-    return processed.join(enough, "category").withColumn("window_start", F.to_date(timeseries.time_bin(F.col("timestamp"), "1w")))
+    # One row for each listed category: a join on its few keys would send the posts to as few tasks.
+    return processed.join(F.broadcast(enough), "category").withColumn("window_start", F.to_date(timeseries.time_bin(F.col("timestamp"), "1w")))
 
 
 def weekly_terms(processed: DataFrame, doc: str, config: Mapping | None = None) -> DataFrame:
@@ -64,14 +66,15 @@ def term_lifecycle(weekly: DataFrame, weeks: DataFrame, config: Mapping | None =
 
 
 def run(*raw: DataFrame, config: Mapping | None = None) -> dict[str, DataFrame]:
-    """All stages from raw comment and video tables, as frames that nothing has run yet."""
-    processed = standardise.processed(standardise.posts(*raw)).withColumn("post_key", F.xxhash64("dataset_type", "video_id", "timestamp", "text"))
-    return after_posts(processed, config)
+    """All stages from raw comment and video tables. Posts are written once to the checkpoint folder, where the other stages
+    read them; each row is a document of its own, also where a comment was delivered again."""
+    processed = standardise.processed(standardise.posts(*raw)).withColumn("post_key", F.monotonically_increasing_id())
+    return after_posts(cut(processed), config)
 
 
 def after_posts(processed: DataFrame, config: Mapping | None = None) -> dict[str, DataFrame]:
-    """The stages that read processed posts."""
+    """The stages that read processed posts. Weekly terms, a few rows for each week, are written once."""
     series = feature_series(processed, config)
-    weekly = weekly_terms(processed, "post_key", config)
+    weekly = cut(weekly_terms(processed, "post_key", config))
     lifecycles = term_lifecycle(weekly, weekly_posts(processed, config), config)
     return {"posts": processed, "series": series, "candidates": trend_candidates(series), "weekly_terms": weekly, "lifecycle": lifecycles}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -30,12 +31,14 @@ def local_session(app: str = "tidemark", cpus: str = "*", partitions: int = 8) -
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
-    """Checkpoints go where the cluster says (``spark.checkpoint.dir``); only a session without
-    that setting, as in tests on one machine, gets a temporary folder."""
+    """Checkpoints go where the cluster says (``spark.checkpoint.dir``). A session on one machine, as in tests, gets a
+    temporary folder where that isn't set; on a cluster executors don't share such a folder, so it is an error there."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
 
 
