@@ -19,6 +19,11 @@ def trend_rows(terms: DataFrame, category: str = "category", term: str = "term",
     )
 
 
+def dashboard(rows: DataFrame) -> DataFrame:
+    """The columns of leaderboard rows that are shown, under their headings."""
+    return rows.select(F.col("term").alias("Trend"), F.col("category").alias("Category"), F.col("trend_score").alias("Score"), F.col("sentiment_score").alias("Sentiment"))
+
+
 def facets(df: DataFrame, wanted: Mapping[str, Sequence[str]]) -> DataFrame:
     """Rows that hold a wanted value in every named column; an empty list of values is no filter."""
     for name, values in wanted.items():

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import partial
 
@@ -14,6 +13,7 @@ from tidemark.functions import lexicon as L
 from tidemark.operators import lifecycle, lookup, semantic, standardise, tfidf, timeseries, vocabulary
 from tidemark.plans import pipeline
 from tidemark.plans import sql as S
+from tidemark.session import cut
 from tidemark.sources import files, synthetic
 from tidemark.sources.tables import table
 from tidemark.streaming import bins
@@ -168,6 +168,21 @@ def q_age_group(spark, d):
     return bios.select("bio", classify.age_group(F.col("bio"))["age_group"].alias("age_group")).groupBy("bio", "age_group").agg(F.count("*").alias("texts"))
 
 
+@query("q_age_indicators", "WITH bios AS (SELECT unnest([" + S.in_list(_BIOS) + "]) AS bio UNION ALL SELECT textOriginal FROM comments WHERE textOriginal IS NOT NULL), a AS (SELECT bio, " + S.age("bio") + " AS age_group, " + S.indicators("bio") + " AS found, " + S.numbers("bio") + " AS ages FROM bios) SELECT bio, age_group, array_to_string(found, '|') AS indicators, array_to_string(ages, '|') AS numeric_ages, count(*) AS texts FROM a GROUP BY ALL")
+def q_age_indicators(spark, d):
+    """All ten patterns with what each finds."""
+    bios = spark.createDataFrame([(b,) for b in _BIOS], "bio string").unionByName(table(spark, d, "comments").select(F.col("textOriginal").alias("bio")).filter("bio is not null"))
+    got = bios.select("bio", classify.age_indicators(F.col("bio")).alias("x"))
+    got = got.select("bio", "x.age_group", F.concat_ws("|", "x.indicators").alias("indicators"), F.concat_ws("|", F.transform("x.numeric_ages", lambda n: n.cast("string"))).alias("numeric_ages"))
+    return got.groupBy("bio", "age_group", "indicators", "numeric_ages").agg(F.count("*").alias("texts"))
+
+
+@query("q_post_columns", f"WITH {S.COMMENTS}, {S.VIDEOS} SELECT 'comments' AS dataset_type, videoId AS video_id, authorId AS author_id, NULL AS channel_id, reply AS is_reply, NULL AS content_duration, NULL AS topic_categories FROM comments_std UNION ALL SELECT 'videos', videoId, NULL, channelId, NULL, contentDuration, topicCategories FROM videos_std")
+def q_post_columns(spark, d):
+    posts = standardise.posts(table(spark, d, "comments"), table(spark, d, "videos"))
+    return posts.select("dataset_type", "video_id", "author_id", "channel_id", "is_reply", "content_duration", "topic_categories")
+
+
 # Time series
 
 def _series(spark: SparkSession, d: str, interval: str) -> DataFrame:
@@ -258,11 +273,14 @@ def q_decay_v3(spark, d):
 
 # Terms
 
+def _overall(spark: SparkSession, d: str, n: int) -> DataFrame:
+    posts = table(spark, d, "processed_posts").filter("category is not null")
+    return tfidf.top_terms(tfidf.term_scores(posts, ["category"], "post_id", "cleaned_text"), ["category"], n)
+
+
 @query("q_tfidf_overall", "WITH " + S.scores(["category"], "SELECT category, post_id AS doc, cleaned_text AS txt FROM processed_posts WHERE category IS NOT NULL") + " SELECT category, term, round(tfidf_score, 6) AS tfidf_score, rank FROM ranked WHERE rank <= 15")
 def q_tfidf_overall(spark, d):
-    posts = table(spark, d, "processed_posts").filter("category is not null")
-    top = tfidf.top_terms(tfidf.term_scores(posts, ["category"], "post_id", "cleaned_text"), ["category"], 15)
-    return top.select("category", "term", _r("tfidf_score").alias("tfidf_score"), "rank")
+    return _overall(spark, d, 15).select("category", "term", _r("tfidf_score").alias("tfidf_score"), "rank")
 
 
 def _weekly_posts(spark: SparkSession, d: str) -> DataFrame:
@@ -282,7 +300,8 @@ def q_tfidf_weekly(spark, d):
 
 def _filled(spark: SparkSession, d: str, all_weeks: bool) -> DataFrame:
     weeks = _weekly_posts(spark, d) if all_weeks else None
-    return timeseries.zero_filled(_weekly(spark, d), "category", "window_start", "term", "tfidf_score", weeks)
+    # A few rows for each week, read for the times, the terms and the values.
+    return timeseries.zero_filled(cut(_weekly(spark, d)), "category", "window_start", "term", "tfidf_score", weeks)
 
 
 @query("q_zero_fill", f"WITH {S.FILLED} SELECT category, CAST(week AS VARCHAR) AS week, term, round(score, 6) AS tfidf_score FROM filled")
@@ -315,6 +334,14 @@ def q_top_decaying(spark, d, all_weeks=False):
     return top.select("category", "term", _r("decay_confidence").alias("decay_confidence"), _r("max_tfidf").alias("max_tfidf"), "rank")
 
 
+@query("q_decaying_terms", f"WITH {S.V2.replace('>= 5)', '>= 2)')} SELECT category, term, round(decay_confidence, 6) AS decay_confidence, appearances FROM v2 JOIN stats USING (category, term) WHERE trend_state = 'Decaying'")
+def q_decaying_terms(spark, d):
+    """As q_top_decaying, for terms that appear twice at least and without a limit: small tables have such terms."""
+    filled = cut(_filled(spark, d, False))
+    both = lifecycle.decay_v2(filled).filter("trend_state = 'Decaying'").join(lifecycle.appearances(filled, least=2), ["category", "term"])
+    return both.select("category", "term", _r("decay_confidence").alias("decay_confidence"), "appearances")
+
+
 # The SQL of these has the weeks with a top term; the whole time axis is every week in which the category has a post.
 for _name in ("q_zero_fill", "q_term_stats", "q_decay_v2", "q_decay_summary", "q_top_decaying"):
     query(f"{_name}_all_weeks", SQL[_name].replace("SELECT DISTINCT category, week FROM weekly", "SELECT DISTINCT category, week FROM docs"))(partial(QUERIES[_name], all_weeks=True))
@@ -353,7 +380,16 @@ def q_processing_rates(spark, d, nearest=False):
 
 # The SQL of these has the dictionary alone; these go on to the nearest of the table's own known words.
 for _name in ("q_spelling", "q_term_pipeline", "q_vocab_mapping", "q_processing_rates"):
-    query(f"{_name}_nearest")(partial(QUERIES[_name], nearest=True))
+    query(f"{_name}_nearest", S.with_nearest(SQL[_name]))(partial(QUERIES[_name], nearest=True))
+
+
+@query("q_translated_terms", f"WITH c AS (SELECT DISTINCT term, coalesce(v, trim(term)) AS corrected FROM term_counts LEFT JOIN {S.SPELLING} ON lower(trim(term)) = k WHERE term IS NOT NULL), w AS (SELECT *, regexp_split_to_array(lower(trim(corrected)), '\\s+') AS ws FROM c), l AS (SELECT *, {S.LANGUAGE} AS lang FROM w), t AS (SELECT *, lang NOT IN ('en', 'unknown') AND least(0.9, greatest(0.5, length(trim(corrected)) / CAST(20 AS DOUBLE))) >= 0.7 AND lower(corrected) IN (SELECT lower(trim(term)) FROM term_counts WHERE feature_type = 'phrase') AS hit FROM l) SELECT term AS original_term, CASE WHEN hit THEN '[' || lower(corrected) || ']' ELSE corrected END AS processed_term, hit AS translated, lang AS source_language FROM t")
+def q_translated_terms(spark, d):
+    """The look-up in a table of translations, here one that puts each phrase in brackets."""
+    terms = table(spark, d, "term_counts")
+    phrases = terms.filter("feature_type = 'phrase'").select(F.lower(F.trim("term")).alias("term")).filter("term is not null").distinct()
+    got = vocabulary.processed_terms(terms, "term", translations=phrases.withColumn("translation", F.concat(F.lit("["), "term", F.lit("]"))))
+    return got.select("original_term", "processed_term", "translated", "source_language")
 
 
 @query("q_language_distribution", "SELECT source_language, count(*) AS records FROM term_counts WHERE source_language IS NOT NULL GROUP BY 1")
@@ -388,11 +424,50 @@ def q_cluster_stats(spark, d):
     return semantic.cluster_stats(_series(spark, d, "1d").withColumn("cluster_id", F.length("feature")))
 
 
+@query("q_cluster_lookup", f"WITH {S.series('1w')}, r AS (SELECT feature FROM trend WHERE rate > 0 GROUP BY 1) SELECT {S.stamp('b')} AS time_bin, feature, n AS count, CASE WHEN r.feature IS NULL THEN -1 ELSE length(feature) END AS cluster_id, CASE WHEN r.feature IS NULL THEN 0.0 ELSE 0.5 END AS coherence_score, CASE WHEN r.feature IS NULL THEN 1 ELSE 7 END AS cluster_size FROM trend LEFT JOIN r USING (feature)")
+def q_cluster_lookup(spark, d):
+    """The look-up of clusters by feature, with its defaults; here a cluster for each length of a feature."""
+    series = _series(spark, d, "1w")
+    of = series.select("feature").distinct().select("feature", F.length("feature").alias("cluster_id"), F.lit(0.5).alias("coherence_score"), F.lit(7).alias("cluster_size"))
+    return semantic.semantic_trends(series, of).select(_stamp("time_bin").alias("time_bin"), "feature", "count", "cluster_id", "coherence_score", "cluster_size")
+
+
+@query("q_kmeans_check", "SELECT (SELECT count(*) FROM embeddings) AS vectors, true AS few_clusters, true AS every_vector_once, true AS closer_than_all")
+def q_kmeans_check(spark, d):
+    """What must hold of any clustering: all vectors once, no more clusters than asked for, and vectors closer to the
+    mean of their cluster than to the mean of all."""
+    got = semantic.clusters(table(spark, d, "embeddings"), "embedding", 10).select("vec_id", "cluster_id", "embedding")
+    parts = got.select("vec_id", "cluster_id", F.posexplode("embedding").alias("i", "x"))
+    spread = lambda by: parts.join(parts.groupBy(*by).agg(F.avg("x").alias("m")), by).agg(F.sum((F.col("x") - F.col("m")) * (F.col("x") - F.col("m"))).alias("s"))
+    own, all_ = spread(["cluster_id", "i"]).withColumnRenamed("s", "own"), spread(["i"]).withColumnRenamed("s", "every")
+    counts = got.agg(F.count("*").alias("vectors"), (F.count_distinct("cluster_id") <= 10).alias("few_clusters"), (F.count_distinct("vec_id") == F.count("*")).alias("every_vector_once"))
+    one = _side_by_side(counts, own, all_)
+    return one.select("vectors", "few_clusters", "every_vector_once", (F.col("own") < F.col("every")).alias("closer_than_all"))
+
+
+def _side_by_side(*rows: DataFrame) -> DataFrame:
+    """Frames of one row each as one row."""
+    out = rows[0]
+    for other in rows[1:]:
+        out = out.unionByName(other, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
 @query("q_kmeans")
 def q_kmeans(spark, d):
     return semantic.clusters(table(spark, d, "embeddings"), "embedding", 10).select("vec_id", "cluster_id")
 
 
+@query("q_semantic_trends_check", f"WITH {S.series('1w')}, r AS (SELECT feature FROM trend WHERE rate > 0 GROUP BY 1) SELECT (SELECT count(*) FROM trend) AS rows, (SELECT count(*) FROM trend WHERE feature NOT IN (SELECT feature FROM r)) AS unclustered, (SELECT count(*) FROM r) AS features, true AS in_bounds")
+def q_semantic_trends_check(spark, d):
+    """What must hold of any clusters: every row once, falling features in none, sizes that sum to the rising features."""
+    got = q_semantic_trends(spark, d)
+    clusters = got.filter("cluster_id >= 0").select("cluster_id", "cluster_size", "coherence_score").distinct()
+    counts = got.agg(F.count("*").alias("rows"), F.count_if(F.col("cluster_id") == -1).alias("unclustered"))
+    sizes = clusters.agg(F.coalesce(F.sum("cluster_size"), F.lit(0)).alias("features"), F.coalesce(F.bool_and(F.abs("coherence_score") <= 1.000001), F.lit(True)).alias("in_bounds"))
+    return _side_by_side(counts, sizes)
+
+
 @query("q_semantic_trends")
 def q_semantic_trends(spark, d):
     series = _series(spark, d, "1w")
@@ -408,9 +483,7 @@ def q_semantic_trends(spark, d):
 
 @query("q_leaderboard", "WITH " + S.scores(["category"], "SELECT category, post_id AS doc, cleaned_text AS txt FROM processed_posts WHERE category IS NOT NULL") + " SELECT CAST(rank AS INTEGER) AS trend_id, upper(category[1]) || category[2:] AS category, term, CAST(floor(tfidf_score * 1000) AS INTEGER) AS trend_score, round(least(0.95, 0.5 + tfidf_score), 6) AS sentiment_score FROM ranked WHERE rank <= 25")
 def q_leaderboard(spark, d):
-    posts = table(spark, d, "processed_posts").filter("category is not null")
-    top = tfidf.top_terms(tfidf.term_scores(posts, ["category"], "post_id", "cleaned_text"), ["category"], 25)
-    return lookup.trend_rows(top).withColumn("sentiment_score", _r("sentiment_score"))
+    return lookup.trend_rows(_overall(spark, d, 25)).withColumn("sentiment_score", _r("sentiment_score"))
 
 
 @query("q_facets", "SELECT post_id, category, dataset_type FROM processed_posts WHERE category IN ('makeup', 'hair') AND dataset_type IN ('videos')")
@@ -436,6 +509,33 @@ def q_best_temporal_match(spark, d):
 _LAST = f"WITH {S.EVENTS}, e AS (SELECT feature, arg_max(n, b) AS last_n, arg_min(n, b) AS first_n, max(b) AS last_b FROM binned GROUP BY 1)"
 
 
+@query("q_forecast_rates", f"{_LAST}, s AS (SELECT unnest(range(1, 13)) AS step) SELECT feature, CAST(step AS INTEGER) AS step, round(greatest(last_n * pow(1 + (last_n - first_n) / CAST(1000 AS DOUBLE), step), 0), 4) AS value FROM e, s")
+def q_forecast_rates(spark, d):
+    """The forecast with a rate for each feature."""
+    bins_ = _event_bins(spark, d)
+    last = bins_.groupBy("feature").agg(F.max_by("count", "timestamp").alias("start"), F.max("timestamp").alias("at"), ((F.max_by("count", "timestamp") - F.min_by("count", "timestamp")) / 1000.0).alias("rate"))
+    return timeseries.forecast(last, "start", "rate", "at").select("feature", "step", _r("value", 4).alias("value"))
+
+
+@query("q_dashboard", "WITH " + S.scores(["category"], "SELECT category, post_id AS doc, cleaned_text AS txt FROM processed_posts WHERE category IS NOT NULL") + " SELECT term AS \"Trend\", upper(category[1]) || category[2:] AS \"Category\", CAST(floor(tfidf_score * 1000) AS INTEGER) AS \"Score\", round(least(0.95, 0.5 + tfidf_score), 6) AS \"Sentiment\" FROM ranked WHERE rank <= 10")
+def q_dashboard(spark, d):
+    """The columns that a dashboard shows, for the first ten terms of each category."""
+    return lookup.dashboard(lookup.trend_rows(_overall(spark, d, 10))).withColumn("Sentiment", _r("Sentiment"))
+
+
+@query("q_row_counts", "SELECT 'comments' AS name, count(*) AS rows FROM comments UNION ALL SELECT 'videos', count(*) FROM videos")
+def q_row_counts(spark, d):
+    """Counts without columns, which the files' footers answer."""
+    one, other = (table(spark, d, t).agg(F.count("*").alias("rows")).select(F.lit(t).alias("name"), "rows") for t in ("comments", "videos"))
+    return one.unionByName(other)
+
+
+@query("q_table_profile", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', (SELECT count(*) FROM videos), (SELECT count(*) FROM videos WHERE \"{c}\" IS NULL), (SELECT count(DISTINCT \"{c}\") FROM videos))" for c in ("channelId", "videoId", "title", "tags", "viewCount", "publishedAt")) + ") AS t(\"column\", rows, nulls, distinct_values)")
+def q_table_profile(spark, d):
+    videos = table(spark, d, "videos").select("channelId", "videoId", "title", "tags", "viewCount", "publishedAt")
+    return files.table_profile(videos).drop("type")
+
+
 @query("q_forecast", f"{_LAST}, s AS (SELECT unnest(range(1, 13)) AS step) SELECT feature, CAST(step AS INTEGER) AS step, CAST(CAST(last_b AS DATE) + CAST((7 - (isodow(last_b + INTERVAL 6 DAY) % 7)) + 6 + (step - 1) * 7 AS INTEGER) AS VARCHAR) AS week, round(last_n * pow(CAST(1.02 AS DOUBLE), step), 4) AS value FROM e, s")
 def q_forecast(spark, d):
     bins_ = _event_bins(spark, d)
@@ -471,13 +571,19 @@ def q_top_posts(spark, d):
     return top.select("video_id", _r("engagement_score", 4).alias("engagement_score"), "rank")
 
 
-@query("q_sample")
+@query("q_sample", "SELECT commentId, textOriginal FROM comments ORDER BY md5(commentId) NULLS FIRST, updatedAt NULLS FIRST, textOriginal NULLS FIRST LIMIT 1000")
 def q_sample(spark, d):
     """A sampling operator: a thousand comments by a hash of their id."""
-    return table(spark, d, "comments").orderBy(F.xxhash64("commentId"), "commentId", "updatedAt").limit(1000).select("commentId", "textOriginal")
+    return table(spark, d, "comments").orderBy(F.md5("commentId"), "updatedAt", "textOriginal").limit(1000).select("commentId", "textOriginal")
 
 
-@query("q_csv_profile")
+_PROFILE = {
+    "channelId": "string", "videoId": "string", "title": "string", "description": "string", "tags": "string", "defaultLanguage": "string", "defaultAudioLanguage": "string",
+    "contentDuration": "string", "topicCategories": "string", "viewCount": "int", "likeCount": "int", "favouriteCount": "int", "commentCount": "int", "publishedAt": "timestamp",
+}
+
+
+@query("q_csv_profile", f"WITH p AS (SELECT unnest([{S.in_list(_PROFILE)}]) AS \"column\", unnest([{S.in_list(_PROFILE.values())}]) AS type) SELECT \"column\", type, (SELECT CAST(count(*) AS BIGINT) FROM videos) AS lines FROM p")
 def q_csv_profile(spark, d):
     from tidemark.session import shared_folder
 
@@ -486,7 +592,7 @@ def q_csv_profile(spark, d):
     return files.csv_profile(spark, path)
 
 
-@query("q_json_flatten")
+@query("q_json_flatten", "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS \"props.k\" FROM events")
 def q_json_flatten(spark, d):
     events = table(spark, d, "events").select("event_id", F.from_json("props", "struct<k:long>").alias("props"))
     return files.flattened(events)
@@ -498,9 +604,7 @@ def q_stream_timebin(spark, d):
 
     static = spark.read.parquet(f"{d}/events.parquet")
     stream = spark.readStream.schema(static.schema).parquet(f"{d}/events.parquet*")
-    name = f"stream_{abs(hash(d)) % 10**9}"
-    spark.catalog.dropTempView(name)
-    got = bins.drain(bins.windowed_counts(stream, "ts", "event_type"), name, shared_folder(spark, name, fresh=True))
+    got = bins.drain(bins.windowed_counts(stream, "ts", "event_type"), "bins", shared_folder(spark, "stream", fresh=True))
     return got.select(_stamp("time_bin").alias("time_bin"), "feature", "count")
 
 
@@ -564,7 +668,7 @@ def q_text_columns(spark, d):
     return files.as_text_columns(table(spark, d, "processed_posts").select("post_id", "hashtags"))
 
 
-@query("q_model_labels")
+@query("q_model_labels", "SELECT post_id, CASE WHEN coalesce(cleaned_text, '') NOT SIMILAR TO '(.|\\n)*[^\\s\\p{Z}](.|\\n)*' THEN 'none' WHEN length(cleaned_text) > 80 THEN 'long' ELSE 'short' END AS label, CASE WHEN coalesce(cleaned_text, '') NOT SIMILAR TO '(.|\\n)*[^\\s\\p{Z}](.|\\n)*' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM processed_posts")
 def q_model_labels(spark, d):
     """The hook for models, with a model that reads the length."""
     model = lambda texts: [("long" if len(t) > 80 else "short", 1.0) for t in texts]
@@ -572,19 +676,51 @@ def q_model_labels(spark, d):
     return got.select("post_id", "x.*")
 
 
-@query("q_synthetic_posts")
+def _picked(words, salt: str) -> str:
+    return f"([{S.in_list(words)}])[CAST({S.drawn('i', salt)} % {len(words)} + 1 AS BIGINT)]"
+
+
+@query("q_synthetic_posts", f"SELECT 'c' || i AS commentId, CAST(NULL AS VARCHAR) AS parentCommentId, 'v' || (i % 97) AS videoId, 'u' || (i % 1009) AS authorId, CASE WHEN i % 10 = 0 THEN {_picked(synthetic.OTHER, 'o')} ELSE {_picked(synthetic.OPENINGS, 'a')} || ' ' || {_picked(synthetic.THINGS, 'b')} END AS textOriginal, CAST({S.drawn('i', 'l')} % 500 AS BIGINT) AS likeCount, {S.stamp(f"make_timestamp((1704067200 + {S.drawn('i', 't')} % 2592000) * 1000000)")} AS publishedAt FROM range(10000) r(i)")
 def q_synthetic_posts(spark, d):
-    return synthetic.synthetic_posts(spark, 10_000)
+    return synthetic.synthetic_posts(spark, 10_000).withColumn("publishedAt", _stamp("publishedAt"))
+
+
+@query("q_seeded_history", f"SELECT CAST(DATE '2024-01-01' + CAST(i * 7 AS INTEGER) AS VARCHAR) AS window_start, 'lip tint' AS term, 20 + {S.drawn('i', 'lip tint')} % 60 + i * 2.0::DOUBLE AS value FROM range(12) r(i)")
+def q_seeded_history(spark, d):
+    return synthetic.seeded_history(spark, "lip tint").withColumn("window_start", F.col("window_start").cast("string"))
+
+
+_PIPELINE = (
+    S.POSTS.replace("numbered AS (", "numbered AS MATERIALIZED (") + ", " + S.scores(["category", "week"], "SELECT category, CAST(date_trunc('week', ts) AS DATE) AS week, k AS doc, txt FROM numbered WHERE category IN (SELECT category FROM numbered GROUP BY 1 HAVING count(*) >= 50)")
+    + ", weekly AS (SELECT * FROM ranked WHERE rank <= 10)"
+)
+
+
+@query("q_stage_weekly_terms", f"WITH {_PIPELINE} SELECT category, CAST(week AS VARCHAR) AS week, term, round(tfidf_score, 6) AS tfidf_score, rank FROM weekly")
+def q_stage_weekly_terms(spark, d):
+    got = pipeline.run(table(spark, d, "comments"), table(spark, d, "videos"))["weekly_terms"]
+    return got.select("category", F.col("window_start").cast("string").alias("week"), "term", _r("tfidf_score").alias("tfidf_score"), "rank")
+
+
+_STAGED = f"{S.POSTS}, f AS (SELECT 'hashtags' AS feature_type, ts, lower(unnest(regexp_extract_all(txt, {S.text(L.HASHTAG)}, 1))) AS feature FROM processed UNION ALL SELECT 'tokens', ts, feature FROM (SELECT ts, unnest(string_split(cleaned, ' ')) AS feature FROM processed) WHERE length(feature) > 2 AND feature NOT IN ({S.in_list(L.STOP_WORDS)}))"
+_STAGED += "".join(f", n_{i} AS (SELECT '{i}' AS interval, feature_type, {S.time_bin(i)} AS b, feature, count(*) AS n FROM f GROUP BY 2, 3, 4)" for i in ("1h", "6h")) + ", n AS (FROM n_1h UNION ALL FROM n_6h)"
+
+
+@query("q_stage_candidates", f"WITH {_STAGED} SELECT interval, feature_type, {S.stamp('b')} AS time_bin, feature, n AS count, round(avg(n) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS rolling_mean, round(coalesce(CAST(n - lag(n) OVER w AS DOUBLE) / lag(n) OVER w, 0), 6) AS rate_of_change FROM n WINDOW w AS (PARTITION BY interval, feature_type, feature ORDER BY b)")
+def q_stage_candidates(spark, d):
+    got = pipeline.run(table(spark, d, "comments"), table(spark, d, "videos"))["candidates"]
+    return got.select("interval", "feature_type", _stamp("time_bin").alias("time_bin"), "feature", "count", _r("rolling_mean").alias("rolling_mean"), _r("rate_of_change").alias("rate_of_change"))
 
 
-@query("q_pipeline_lifecycle")
+@query("q_pipeline_lifecycle", f"WITH {_PIPELINE}" + S.V2.removeprefix(S.WEEKLY).replace("SELECT DISTINCT category, week FROM weekly", "SELECT DISTINCT category, week FROM docs").replace(">= 5)", ">= 2)") + " SELECT category, term, trend_state, round(decay_confidence, 6) AS decay_confidence, round(avg_growth_rate, 6) AS avg_growth_rate, appearances, total_windows, round(max_tfidf, 6) AS max_tfidf, round(min_tfidf, 6) AS min_tfidf, round(latest_tfidf, 6) AS latest_tfidf FROM v2 JOIN stats USING (category, term)")
 def q_pipeline_lifecycle(spark, d):
     """All stages in one plan over the raw tables."""
-    return pipeline.run(table(spark, d, "comments"), table(spark, d, "videos"), config={"lifecycle": {"least_appearances": 2}})["lifecycle"]
+    got = pipeline.run(table(spark, d, "comments"), table(spark, d, "videos"), config={"lifecycle": {"least_appearances": 2}})["lifecycle"]
+    return got.select("category", "term", "trend_state", *[_r(c).alias(c) for c in ("decay_confidence", "avg_growth_rate")], "appearances", "total_windows", *[_r(c).alias(c) for c in ("max_tfidf", "min_tfidf", "latest_tfidf")])
 
 
 # Stages with the default settings; the smallest tables are too small for a lifecycle with these.
-for _stage in ("posts", "series", "candidates", "weekly_terms"):
+for _stage in ("posts", "series"):
     @query(f"q_stage_{_stage}")
     def _pipeline_stage(spark, d, stage=_stage):
         return pipeline.run(table(spark, d, "comments"), table(spark, d, "videos"))[stage]

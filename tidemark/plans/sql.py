@@ -151,3 +151,42 @@ def age(column: str) -> str:
     by_age = "CASE " + " ".join(f"WHEN {mean} <= {n} THEN {text(g)}" for n, g in L.AGE_LIMITS) + " ELSE 'boomer' END"
     by_word = "CASE " + " ".join(f"WHEN {holds(f'lower({column})', ws)} THEN {text(g)}" for g, _, ws in L.AGE_CASCADE) + " ELSE 'unknown' END"
     return f"CASE WHEN coalesce(len({ages}), 0) > 0 THEN {by_age} ELSE {by_word} END"
+
+
+def indicators(column: str) -> str:
+    """What each pattern finds, in the order of the patterns; of the first one its number and its unit."""
+    found = lambda p, k: f"regexp_extract_all(lower({column}), {text(p)}, {k})"
+    first, *others = L.AGE_PATTERNS
+    stated = f"list_transform(list_zip({found(first, 1)}, {found(first, 2)}), lambda x: x[1] || ' ' || x[2])"
+    return "list_concat(" * len(others) + stated + "".join(f", {found(p, 1)})" for p in others)
+
+
+def numbers(column: str) -> str:
+    return f"list_transform(list_concat(regexp_extract_all(lower({column}), {text(L.AGE_PATTERNS[0])}, 1), regexp_extract_all(lower({column}), {text(L.AGE_PATTERNS[1])}, 1)), lambda x: CAST(x AS INTEGER))"
+
+
+def drawn(column: str, salt: str, seed: int = 7) -> str:
+    """The number that synthetic.drawn gives."""
+    return f"CAST('0x' || substr(md5({column} || '|{seed}|{salt}'), 1, 7) AS BIGINT)"
+
+
+#: The nearest known word within one edit of each term that the dictionary doesn't hold. Letters are compared, not bytes.
+NEAREST = f"""
+known AS (SELECT lower(trim(term)) AS near, count(*) AS c FROM term_counts WHERE lower(trim(term)) <> '' GROUP BY 1 HAVING count(*) >= 20),
+known_words AS (SELECT * FROM known WHERE near NOT IN (SELECT k FROM {SPELLING} WHERE k <> v)),
+keys AS (SELECT DISTINCT lower(trim(term)) AS key FROM term_counts WHERE lower(trim(term)) <> '' AND lower(trim(term)) NOT IN (SELECT k FROM {SPELLING})),
+key_parts AS (SELECT key, i, substr(key, 1, i - 1) || substr(key, i + 1) AS part FROM (SELECT key, unnest(range(1, length(key) + 1)) AS i FROM keys)),
+word_parts AS (SELECT near, c, i, substr(near, 1, i - 1) || substr(near, i + 1) AS part FROM (SELECT near, c, unnest(range(1, length(near) + 1)) AS i FROM known_words)),
+within AS (
+  SELECT key, near, c, 0 AS d FROM keys JOIN known_words ON key = near
+  UNION ALL SELECT key, near, c, 1 FROM key_parts a JOIN word_parts b ON a.i = b.i AND a.part = b.part AND length(key) = length(near) AND key <> near
+  UNION ALL SELECT key, near, c, 1 FROM key_parts JOIN known_words ON part = near
+  UNION ALL SELECT key, near, c, 1 FROM keys JOIN word_parts ON part = key),
+nearest AS (SELECT key, near FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY d, c DESC, near) AS r FROM within) WHERE r = 1 AND near <> key)"""
+
+
+def with_nearest(sql: str) -> str:
+    """A query that applies the dictionary, with the nearest known word after it."""
+    sql = sql.replace(f"{SPELLING} ON lower(trim(term)) = k", f"{SPELLING} ON lower(trim(term)) = k LEFT JOIN nearest ON v IS NULL AND key = lower(trim(term))")
+    sql = sql.replace("coalesce(v, trim(term))", "coalesce(v, near, trim(term))").replace("v IS NOT NULL", "(v IS NOT NULL OR near IS NOT NULL)")
+    return f"WITH {NEAREST}, {sql.removeprefix('WITH ')}" if sql.startswith("WITH ") else f"WITH {NEAREST} {sql}"

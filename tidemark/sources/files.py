@@ -6,6 +6,7 @@ import json
 import os
 import re
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.ml import PipelineModel
@@ -18,18 +19,50 @@ from tidemark.operators.standardise import detect_dataset_type
 COMMENT_NAMES, VIDEO_NAMES = re.compile("comment|reply|replies"), re.compile("video|content|post")
 
 
+def _at(spark: SparkSession, path: str):
+    """The file system of a path, on whatever store it is, and the path there."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def tables_below(spark: SparkSession, folder: str, kinds: Sequence[str]) -> list[str]:
+    """Paths of files, and of folders that are tables, with one of the suffixes; part files of such a folder aren't listed."""
+    fs, root = _at(spark, folder)
+    found, todo = [], [root]
+    while todo:
+        for status in fs.listStatus(todo.pop()):
+            path = status.getPath()
+            if path.getName().endswith(tuple(kinds)):
+                found.append(path.toString())
+            elif status.isDirectory():
+                todo.append(path)
+    return sorted(p.removeprefix("file:") for p in found)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One small text, written by the driver to any store."""
+    fs, there = _at(spark, path)
+    out = fs.create(there, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first().value
+
+
 def discover(spark: SparkSession, folder: str) -> dict[str, list[str]]:
-    """Files of a local folder by kind: by their names first, else by the columns in the footer or header."""
+    """Tables of a folder by kind: by their names first, else by the columns in the footer or header."""
     found: dict[str, list[str]] = {"comments": [], "videos": []}
-    kinds = (".parquet", ".csv", ".json")
-    inside = lambda p: any(q.suffix in kinds for q in p.relative_to(folder).parents)  # noqa: E731 — part files of a table
-    for path in sorted(p for p in Path(folder).rglob("*") if p.suffix in kinds and not inside(p)):
-        name = path.stem.lower()
+    for path in tables_below(spark, folder, (".parquet", ".csv", ".json")):
+        name = path.rpartition("/")[2].rpartition(".")[0].lower()
         kind = "comments" if COMMENT_NAMES.search(name) else "videos" if VIDEO_NAMES.search(name) else None
         if kind is None:
-            kind = detect_dataset_type(read_any(spark, str(path)).columns)
+            kind = detect_dataset_type(read_any(spark, path).columns)
         if kind:
-            found[kind].append(str(path))
+            found[kind].append(path)
     return found
 
 
@@ -63,11 +96,14 @@ def catalogue(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def csv_profile(spark: SparkSession, path: str, sample_rows: int = 50_000, out: str | None = None) -> DataFrame:
-    """(column, type, lines): types as inferred from a sample, physical lines less the header; the sample can be kept as Parquet."""
+    """(column, type, lines): types as inferred from a sample, physical lines less the header of each file; the sample can be
+    kept as Parquet."""
     sample = spark.read.csv(path, header=True, inferSchema=True).limit(sample_rows)
     if out:
         sample.write.mode("overwrite").parquet(out)
-    lines = max(0, spark.read.text(path).count() - 1)
+    text = spark.read.text(path).select(F.input_file_name().alias("file"))
+    counted = text.agg(F.count("*").alias("n"), F.count_distinct("file").alias("files")).first()
+    lines = max(0, counted.n - counted.files)
     return spark.createDataFrame([(n, t, lines) for n, t in sample.dtypes], "column string, type string, lines long")
 
 
@@ -77,15 +113,34 @@ def csv_to_parquet(spark: SparkSession, path: str, out: str) -> None:
 
 
 def all_csv_to_parquet(spark: SparkSession, root: str, out_dir: str) -> list[str]:
-    """Every CSV below a local folder, each to a folder named by its path, so that equal names don't collide."""
+    """Every CSV below a folder, each to a folder named by its path, so that equal names don't collide."""
+    fs, there = _at(spark, root)
+    base = fs.makeQualified(there).toString().removeprefix("file:").rstrip("/")
     done = []
-    for path in sorted(Path(root).rglob("*.csv")):
-        out = str(Path(out_dir, *path.relative_to(root).with_suffix(".parquet").parts))
-        csv_to_parquet(spark, str(path), out)
+    for path in tables_below(spark, root, (".csv",)):
+        out = f"{out_dir.rstrip('/')}/{path.removeprefix(base).lstrip('/').removesuffix('.csv')}.parquet"
+        csv_to_parquet(spark, path, out)
         done.append(out)
     return done
 
 
+def table_profile(df: DataFrame) -> DataFrame:
+    """(column, type, rows, nulls, distinct_values) of each column, from one pass over the table."""
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.lit(t).alias("type"), F.col(f"`{n}`").cast("string").alias("value")) for n, t in df.dtypes]))
+    each = df.select(cells.alias("_c")).select("_c.*")
+    return each.groupBy("column", "type").agg(F.count("*").alias("rows"), F.count_if(F.col("value").isNull()).alias("nulls"), F.count_distinct("value").alias("distinct_values"))
+
+
+def profile_report(spark: SparkSession, folder: str, path: str) -> list[str]:
+    """Markdown with the profile of each table of a folder; the tables' paths."""
+    done, lines = tables_below(spark, folder, (".parquet", ".csv", ".json")), ["# Tables"]
+    for one in done:
+        lines += ["", f"## {one.rpartition('/')[2]}", "", "| column | type | rows | nulls | distinct values |", "|-|-|-|-|-|"]
+        lines += [f"| {r.column} | {r.type} | {r.rows} | {r.nulls} | {r.distinct_values} |" for r in table_profile(read_any(spark, one)).orderBy("column").collect()]
+    write_text(spark, "\n".join(lines) + "\n", path)
+    return done
+
+
 def excel_to_frame(spark: SparkSession, path: str) -> DataFrame:
     """The first sheet, read on the driver; needs an Excel reader for pandas."""
     import pandas as pd
@@ -128,7 +183,7 @@ def nested_trends(weekly: DataFrame, path: str) -> None:
     by_window = weekly.groupBy("category", "window_start").agg(F.transform(terms, lambda x: F.struct(x["term"].alias("term"), x["tfidf_score"].alias("tfidf_score"))).alias("_t"))
     by_category = by_window.groupBy("category").agg(F.map_from_entries(F.collect_list(F.struct(F.col("window_start").cast("string"), "_t"))).alias("trending_terms_by_window"))
     whole = by_category.agg(F.map_from_entries(F.collect_list(F.struct("category", F.struct("trending_terms_by_window")))).alias("temporal_trends"))
-    write_report(json.loads(whole.toJSON().first()), path)
+    write_report(json.loads(whole.toJSON().first()), path, weekly.sparkSession)
 
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), skip_empty: bool = False) -> bool:
@@ -144,27 +199,27 @@ def as_text_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.to_json(f.name) for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))})
 
 
-def write_report(report: dict, path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(report, indent=2, ensure_ascii=False, default=str))
+def write_report(report: dict, path: str, spark: SparkSession | None = None) -> None:
+    """JSON on any store."""
+    write_text(spark or SparkSession.active(), json.dumps(report, indent=2, ensure_ascii=False, default=str), path)
 
 
 def markdown_report(catalogued: DataFrame, path: str, rows: int = 50) -> None:
     """The first rows of a catalogue as a table."""
     head = catalogued.orderBy("relative_path").limit(rows).collect()
     lines = ["| path | suffix | bytes |", "|-|-|-|", *[f"| {r.relative_path} | {r.suffix} | {r.size_bytes} |" for r in head]]
-    Path(path).write_text("\n".join(lines) + "\n")
+    write_text(catalogued.sparkSession, "\n".join(lines) + "\n", path)
 
 
 def save_model(model: PipelineModel, vocabulary: DataFrame, path: str, facts: dict) -> None:
     """A fitted pipeline, its vocabulary with weights, and facts about it; no pickles."""
     model.write().overwrite().save(f"{path}/model")
     write_table(vocabulary, f"{path}/vocabulary")
-    write_report(facts, f"{path}/registry.json")
+    write_report(facts, f"{path}/registry.json", vocabulary.sparkSession)
 
 
 def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame, dict]:
-    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/vocabulary"), json.loads(Path(f"{path}/registry.json").read_text())
+    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/vocabulary"), json.loads(read_text(spark, f"{path}/registry.json"))
 
 
 def audio_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -21,8 +21,9 @@ def sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", la
     )
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over all that is there now; the result is a table in memory, for tests and small reports."""
-    query = stream.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, name: str, folder: str) -> DataFrame:
+    """Runs a stream over all that is there now, exactly once, and gives what it wrote to ``name`` in ``folder``."""
+    rows = f"{folder}/{name}"
+    sink = stream.writeStream.outputMode("append").format("parquet").option("path", rows).option("checkpointLocation", f"{folder}/checkpoint-{name}")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(rows)
