@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 import zipfile
 from collections import Counter
 
@@ -291,3 +292,62 @@ def test_command_line(spark, tmp_path):
     report = main([str(tmp_path / "in"), str(tmp_path / "out"), "--config", str(tmp_path / "c.json")])
     assert report["rows"]["posts"] == 360 and report["rows"]["series"] > 0 and report["config"]["series"]["features"] == ["hashtags", "tokens"]
     assert (tmp_path / "out" / "report.json").exists()
+
+
+def test_clean_is_five_steps(spark):
+    """Three passes give what emoji, addresses, names, signs and gaps give one after another."""
+    rng = random.Random(1)
+    bits = [*"aAb\u00e9 _#@.:/!? \n\t", "http://", "https://", "www.", "HTTPS://", "\U0001f600", "\u7f8e", "\u24c2", "\u2702", "\u00df", "\u0967", "@x", "\u00a0", "\u2003", "\x85", "\x1c"]
+    rows = [("".join(rng.choice(bits) for _ in range(rng.randint(0, 25))),) for _ in range(5000)] + [(None,), ("x" * 100_000 + "@" * 100_000,)]
+    out = F.lower(F.coalesce(F.col("t"), F.lit("")))
+    for pattern in (L.EMOJI, f"(?i){L.URL}", L.MENTION, L.SPECIAL, L.GAP):
+        out = F.regexp_replace(out, pattern, " ")
+    df = spark.createDataFrame(rows, "t string").select(F.trim(out).alias("a"), text.clean(F.col("t")).alias("b"))
+    assert df.filter("not a <=> b").count() == 0
+
+
+def test_posts_are_cleaned_once(spark):
+    df = spark.createDataFrame([("comments", "v", dt.datetime(2024, 1, 1), "Glow SERUM!", 1.0)], "dataset_type string, video_id string, timestamp timestamp, text string, engagement_score double")
+    plan = standardise.processed(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("regexp_replace") <= 3 and standardise.processed(df).first().category == "skincare"
+    assert standardise.processed(df.limit(0)).count() == 0
+
+
+def test_age_indicators(spark):
+    rows = [("19 YO, gen z college student; age 21",), (None,), ("",), ("middle aged, baby boomer",)]
+    got = [r.x for r in spark.createDataFrame(rows, "t string").select(classify.age_indicators(F.col("t")).alias("x")).collect()]
+    assert got[0].indicators == ["19 yo", "21", "gen z", "college", "student"] and got[0].numeric_ages == [19, 21] and got[0].age_group == "gen_z"
+    assert got[1].age_group == "unknown" and got[1].indicators == [] and got[1].numeric_ages == [] and got[2].indicators == []
+    assert got[3].indicators == ["boomer", "middle aged"] or got[3].indicators == ["baby boomer", "middle aged"]
+
+
+def test_registry(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import HashingTF
+
+    df = spark.createDataFrame([(["glow", "serum"],)], "w array<string>")
+    model = Pipeline(stages=[HashingTF(inputCol="w", outputCol="v", numFeatures=16)]).fit(df)
+    words = spark.createDataFrame([("glow", 0.5)], "term string, weight double")
+    files.save_model(model, words, str(tmp_path / "m"), {"terms": 1, "made": "today"})
+    loaded, vocabulary_, facts = files.load_model(spark, str(tmp_path / "m"))
+    assert facts == {"terms": 1, "made": "today"} and vocabulary_.collect() == words.collect()
+    assert loaded.transform(df).first().v == model.transform(df).first().v
+
+
+def test_profile_report(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None), (2, "a")], "k int, t string")
+    df.write.parquet(str(tmp_path / "in" / "comments.parquet"))
+    df.coalesce(1).write.csv(str(tmp_path / "in" / "deep" / "posts.csv"), header=True)
+    assert files.tables_below(spark, str(tmp_path / "in"), (".parquet", ".csv")) == [str(tmp_path / "in" / "comments.parquet"), str(tmp_path / "in" / "deep" / "posts.csv")]
+    assert {(r.column, r.rows, r.nulls, r.distinct_values) for r in files.table_profile(df).collect()} == {("k", 3, 0, 2), ("t", 3, 1, 1)}
+    files.profile_report(spark, str(tmp_path / "in"), str(tmp_path / "report.md"))
+    assert "| t | string | 3 | 1 | 1 |" in (tmp_path / "report.md").read_text()
+    assert files.all_csv_to_parquet(spark, str(tmp_path / "in"), str(tmp_path / "out")) == [str(tmp_path / "out" / "deep" / "posts.parquet")]
+
+
+def test_redelivered_comments_are_documents(spark):
+    at = dt.datetime(2024, 1, 3)
+    rows = [(f"c{k}", None, "v", "u", "the night serum works wonders", 1, at) for k in range(60)]
+    df = spark.createDataFrame(rows + rows[:5], "commentId string, parentCommentId string, videoId string, authorId string, textOriginal string, likeCount long, publishedAt timestamp")
+    stages = pipeline.run(df)
+    assert stages["posts"].select("post_key").distinct().count() == 65
