@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import lexicon as L
 from tidemark.functions.text import term_clean
-from tidemark.session import cut
+from tidemark.session import written
 
 
 def term_scores(docs: DataFrame, part: Sequence[str], doc: str, text: str, least_docs: int = 5, min_df: int = 2, max_df: float = 0.8,
@@ -32,7 +32,7 @@ def term_scores(docs: DataFrame, part: Sequence[str], doc: str, text: str, least
     pairs = placed.withColumn("_next", F.lead("_word").over(w))
     both = F.when(F.col("_next").isNotNull(), F.array("_word", F.concat_ws(" ", "_word", "_next"))).otherwise(F.array("_word"))
     tf = pairs.select(*part, "_doc", F.explode(both).alias("term")).groupBy(*part, "_doc", "term").agg(F.count("*").alias("_tf"))
-    tf = cut(tf)
+    tf = written(tf, "tf")
     terms = tf.groupBy(*part, "term").agg(F.count("*").alias("df"), F.sum("_tf").alias("_total"))
     terms = terms.join(sizes, part).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("_n")))
     rank = F.row_number().over(Window.partitionBy(*part).orderBy(F.desc("_total"), "term"))

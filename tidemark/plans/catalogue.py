@@ -698,7 +698,7 @@ _PIPELINE = (
 
 @query("q_stage_weekly_terms", f"WITH {_PIPELINE} SELECT category, CAST(week AS VARCHAR) AS week, term, round(tfidf_score, 6) AS tfidf_score, rank FROM weekly")
 def q_stage_weekly_terms(spark, d):
-    got = pipeline.run(table(spark, d, "comments"), table(spark, d, "videos"))["weekly_terms"]
+    got = pipeline.run(table(spark, d, "comments"), table(spark, d, "videos"), wanted=["weekly_terms"])["weekly_terms"]
     return got.select("category", F.col("window_start").cast("string").alias("week"), "term", _r("tfidf_score").alias("tfidf_score"), "rank")
 
 
@@ -708,14 +708,14 @@ _STAGED += "".join(f", n_{i} AS (SELECT '{i}' AS interval, feature_type, {S.time
 
 @query("q_stage_candidates", f"WITH {_STAGED} SELECT interval, feature_type, {S.stamp('b')} AS time_bin, feature, n AS count, round(avg(n) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS rolling_mean, round(coalesce(CAST(n - lag(n) OVER w AS DOUBLE) / lag(n) OVER w, 0), 6) AS rate_of_change FROM n WINDOW w AS (PARTITION BY interval, feature_type, feature ORDER BY b)")
 def q_stage_candidates(spark, d):
-    got = pipeline.run(table(spark, d, "comments"), table(spark, d, "videos"))["candidates"]
+    got = pipeline.run(table(spark, d, "comments"), table(spark, d, "videos"), wanted=["candidates"])["candidates"]
     return got.select("interval", "feature_type", _stamp("time_bin").alias("time_bin"), "feature", "count", _r("rolling_mean").alias("rolling_mean"), _r("rate_of_change").alias("rate_of_change"))
 
 
 @query("q_pipeline_lifecycle", f"WITH {_PIPELINE}" + S.V2.removeprefix(S.WEEKLY).replace("SELECT DISTINCT category, week FROM weekly", "SELECT DISTINCT category, week FROM docs").replace(">= 5)", ">= 2)") + " SELECT category, term, trend_state, round(decay_confidence, 6) AS decay_confidence, round(avg_growth_rate, 6) AS avg_growth_rate, appearances, total_windows, round(max_tfidf, 6) AS max_tfidf, round(min_tfidf, 6) AS min_tfidf, round(latest_tfidf, 6) AS latest_tfidf FROM v2 JOIN stats USING (category, term)")
 def q_pipeline_lifecycle(spark, d):
     """All stages in one plan over the raw tables."""
-    got = pipeline.run(table(spark, d, "comments"), table(spark, d, "videos"), config={"lifecycle": {"least_appearances": 2}})["lifecycle"]
+    got = pipeline.run(table(spark, d, "comments"), table(spark, d, "videos"), config={"lifecycle": {"least_appearances": 2}}, wanted=["lifecycle"])["lifecycle"]
     return got.select("category", "term", "trend_state", *[_r(c).alias(c) for c in ("decay_confidence", "avg_growth_rate")], "appearances", "total_windows", *[_r(c).alias(c) for c in ("max_tfidf", "min_tfidf", "latest_tfidf")])
 
 
@@ -723,4 +723,4 @@ def q_pipeline_lifecycle(spark, d):
 for _stage in ("posts", "series"):
     @query(f"q_stage_{_stage}")
     def _pipeline_stage(spark, d, stage=_stage):
-        return pipeline.run(table(spark, d, "comments"), table(spark, d, "videos"))[stage]
+        return pipeline.run(table(spark, d, "comments"), table(spark, d, "videos"), wanted=[stage])[stage]

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import lifecycle, standardise, tfidf, timeseries
-from tidemark.session import cut
+from tidemark.session import cut, written
 
 DEFAULTS = {
     "series": {"intervals": ["1h", "6h"], "features": ["hashtags", "tokens"]},
@@ -65,16 +65,30 @@ def term_lifecycle(weekly: DataFrame, weeks: DataFrame, config: Mapping | None =
     return lifecycle.decay_v2(filled).join(stats, ["category", "term"])
 
 
-def run(*raw: DataFrame, config: Mapping | None = None) -> dict[str, DataFrame]:
-    """All stages from raw comment and video tables. Posts are written once to the checkpoint folder, where the other stages
-    read them; each row is a document of its own, also where a comment was delivered again."""
+STAGES = ("posts", "series", "candidates", "weekly_terms", "lifecycle")
+#: Columns of posts that later stages read.
+_SERIES, _TERMS = ["timestamp", "hashtags", "tokens"], ["category", "timestamp", "text", "post_key"]
+
+
+def run(*raw: DataFrame, config: Mapping | None = None, wanted: Sequence[str] = STAGES) -> dict[str, DataFrame]:
+    """The wanted stages from raw comment and video tables. Posts are written once to the checkpoint folder, with the columns
+    that the wanted stages read; each row is a document of its own, also where a comment was delivered again."""
     processed = standardise.processed(standardise.posts(*raw)).withColumn("post_key", F.monotonically_increasing_id())
-    return after_posts(cut(processed), config)
+    if wanted and set(wanted) <= {"posts"}:
+        return {"posts": processed}
+    if "posts" not in wanted:
+        needed = [*(_SERIES if {"series", "candidates"} & set(wanted) else []), *(_TERMS if {"weekly_terms", "lifecycle"} & set(wanted) else [])]
+        processed = processed.select(*dict.fromkeys(needed))
+    return after_posts(written(processed, "posts"), config, wanted)
 
 
-def after_posts(processed: DataFrame, config: Mapping | None = None) -> dict[str, DataFrame]:
+def after_posts(processed: DataFrame, config: Mapping | None = None, wanted: Sequence[str] = STAGES) -> dict[str, DataFrame]:
     """The stages that read processed posts. Weekly terms, a few rows for each week, are written once."""
-    series = feature_series(processed, config)
-    weekly = cut(weekly_terms(processed, "post_key", config))
-    lifecycles = term_lifecycle(weekly, weekly_posts(processed, config), config)
-    return {"posts": processed, "series": series, "candidates": trend_candidates(series), "weekly_terms": weekly, "lifecycle": lifecycles}
+    stages = {"posts": processed}
+    if {"series", "candidates"} & set(wanted):
+        stages["series"] = feature_series(processed, config)
+        stages["candidates"] = trend_candidates(stages["series"])
+    if {"weekly_terms", "lifecycle"} & set(wanted):
+        stages["weekly_terms"] = cut(weekly_terms(processed, "post_key", config))
+        stages["lifecycle"] = term_lifecycle(stages["weekly_terms"], weekly_posts(processed, config), config)
+    return {name: stages[name] for name in STAGES if name in wanted}

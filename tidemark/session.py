@@ -48,6 +48,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """As ``cut``, but as a compressed table of which readers take only their columns; for what has many rows or columns.
+    It stays in the checkpoint folder of the application."""
+    path = shared_folder(df.sparkSession, name, fresh=True)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 
