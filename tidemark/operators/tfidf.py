@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import lexicon as L
@@ -12,6 +12,10 @@ from tidemark.functions.text import term_clean
 from tidemark.session import written
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def term_scores(docs: DataFrame, part: Sequence[str], doc: str, text: str, least_docs: int = 5, min_df: int = 2, max_df: float = 0.8,
                 max_terms: int = 1000, stop_words: Iterable[str] = tuple(L.STOP_WORDS)) -> DataFrame:
     """(part.., term, tfidf_score, df, docs): mean TF-IDF of each kept term over all documents of its part.
@@ -20,18 +24,18 @@ def term_scores(docs: DataFrame, part: Sequence[str], doc: str, text: str, least
     neighbours of the filtered words. Of the terms in min_df documents and no more than max_df of them the
     ``max_terms`` most frequent are kept, ties by term. Rows are scaled to length 1 over the kept terms.
 
-    Words are exploded before stop words are taken out and pairs come from ``lead``, so that no array expression is
-    evaluated again for each element. Everything runs for all parts at once, by keys. The counts of terms in documents are
+    Pairs are joined inside a document's row, so no shuffle is needed for them; each array is computed once, before what is
+    exploded, as an expression below ``explode`` would be evaluated again. Everything runs for all parts at once, by keys. The counts of terms in documents are
     written once to the checkpoint folder; terms, weights and norms read them there."""
     part = list(part)
     keyed = docs.select(*part, F.col(doc).alias("_doc"), F.col(text).alias("_text")).filter(F.length(F.trim("_text")) > 10)
     sizes = keyed.groupBy(*part).agg(F.count_distinct("_doc").alias("_n")).filter(F.col("_n") >= least_docs)
     words = F.regexp_extract_all(term_clean(F.col("_text")), F.lit(L.TERM_TOKEN), F.lit(0))
-    placed = keyed.select(*part, "_doc", F.posexplode(words).alias("_pos", "_word")).filter(~F.col("_word").isin(*stop_words))
-    w = Window.partitionBy(*part, "_doc").orderBy("_pos")
-    pairs = placed.withColumn("_next", F.lead("_word").over(w))
-    both = F.when(F.col("_next").isNotNull(), F.array("_word", F.concat_ws(" ", "_word", "_next"))).otherwise(F.array("_word"))
-    tf = pairs.select(*part, "_doc", F.explode(both).alias("term")).groupBy(*part, "_doc", "term").agg(F.count("*").alias("_tf"))
+    stop = F.array(*[F.lit(w) for w in stop_words])
+    held = _once(keyed.select(*part, "_doc", "_text"), "_words", F.filter(words, lambda w: ~F.array_contains(stop, w))).drop("_text")
+    pairs = F.zip_with("_words", F.slice("_words", F.lit(2), F.size("_words")), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    both = _once(held, "_terms", F.array_compact(F.concat("_words", pairs)))
+    tf = both.select(*part, "_doc", F.explode("_terms").alias("term")).groupBy(*part, "_doc", "term").agg(F.count("*").alias("_tf"))
     tf = written(tf, "tf")
     terms = tf.groupBy(*part, "term").agg(F.count("*").alias("df"), F.sum("_tf").alias("_total"))
     terms = terms.join(sizes, part).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("_n")))
