@@ -411,6 +411,51 @@ def test_terms_are_not_capped(spark, monkeypatch):
     assert set(words) <= set(subjects.fit(texts, examples)[0].names)
 
 
+def test_subjects_come_from_all_rows(spark, monkeypatch):
+    """No bound on texts, windows or examples changes a row, nor does the way that texts are spread."""
+    posts, known = subjects._inputs(spark, DATA)
+    rows = lambda of: sorted((r.id, r.subject) for r in subjects.assign_subjects(of, known).collect())
+    whole = rows(posts)
+    for bound in ("FIT_TEXTS", "FIT_WINDOWS", "MOST_EXAMPLES"):
+        monkeypatch.setattr(subjects, bound, 60, raising=False)
+    monkeypatch.setattr(subjects, "BLOCK", 700, raising=False)
+    assert whole and rows(posts.repartition(5)) == whole
+
+
+def test_leaves_of_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "BLOCK", 100, raising=False)
+    rng = random.Random(2)
+    groups = [[g + v for v in "aeiou"] for g in ("bal", "dor", "kim")]
+    texts = [" ".join(rng.choices(groups[k % 3], k=6)) for k in range(300)]
+    df = Counter(w for t in texts for w in set(t.split()))
+    terms = subjects.Terms(sorted(df), [], df, len(texts))
+    ids, pair, owner = terms.place(texts)
+    x = terms.vectors(ids, owner, len(texts))
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4)
+    blocks = subjects.placed(rows, spark.sparkContext.broadcast(terms))
+    want = np.array([x[k::3].sum(0) / np.linalg.norm(x[k::3].sum(0)) for k in range(3)])
+    got = subjects.document_leaves(blocks, 3)
+    assert len(got) == 3 and ((got @ want.T).max(0) > 1 - 1e-5).all()
+    # Equal texts can't be cut, no text gives no leaf.
+    assert len(subjects.document_leaves(blocks.limit(0), 3)) == 0
+    same = subjects.placed(rows.withColumn("text", F.lit("bala bale")), spark.sparkContext.broadcast(terms))
+    assert len(subjects.document_leaves(same, 3)) == 1
+
+
+def test_cells_hold_all_windows(spark, monkeypatch):
+    told = np.random.default_rng(3).random((500, subjects.CLASSES)) * 4
+    told[100:] = told[:100].repeat(4, 0)
+    cells = subjects._cells(told)
+    assert len(cells) == 100 and cells["n"].sum() == 500
+    rows = spark.createDataFrame(pd.concat([cells, subjects._cells(told[:7])]))
+    ints = rows.select(*[F.col(c).cast("int").alias(c) for c in subjects.CELL_PLACE], "n", *subjects.CELL_SUMS)
+    monkeypatch.setattr(subjects, "WINDOW_LEAVES", 1)
+    for most in (100, 9):
+        monkeypatch.setattr(subjects, "MOST_CELLS", most)
+        leaves = subjects.window_leaves(ints)
+        assert leaves.windows == 507 and np.allclose(leaves.mixture[0], np.vstack([told, told[:7]]).mean(0))
+
+
 def test_subjects_of_examples(spark):
     examples = read("subject_examples")
     posts = spark.createDataFrame(read("processed_posts")[["post_id", "cleaned_text"]]).select(F.col("post_id").alias("id"), F.col("cleaned_text").alias("text"))
