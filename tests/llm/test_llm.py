@@ -434,8 +434,10 @@ def test_leaves_of_all_texts(spark, monkeypatch):
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4)
     blocks = subjects.placed(rows, spark.sparkContext.broadcast(terms))
     want = np.array([x[k::3].sum(0) / np.linalg.norm(x[k::3].sum(0)) for k in range(3)])
-    got = subjects.document_leaves(blocks, 3)
-    assert len(got) == 3 and ((got @ want.T).max(0) > 1 - 1e-5).all()
+    for tasks in (0, 64):
+        monkeypatch.setattr(subjects, "FEW_TASKS", tasks)
+        got = subjects.document_leaves(blocks, 3)
+        assert len(got) == 3 and ((got @ want.T).max(0) > 1 - 1e-5).all()
     # Equal texts can't be cut, no text gives no leaf.
     assert len(subjects.document_leaves(blocks.limit(0), 3)) == 0
     same = subjects.placed(rows.withColumn("text", F.lit("bala bale")), spark.sparkContext.broadcast(terms))
